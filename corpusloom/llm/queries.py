@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, packing, simhash
+from . import bpe, exact_dedup, packing, quality, simhash, suffix_lm, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -46,3 +46,18 @@ def op6_best_fit_packing(spark, sf_dir):
 @query
 def op7_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.tokenizer_file("byte_bpe_multi_50k.tiktoken"))
+
+
+@query
+def op4_toxicity_fm(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op8_suffix_tree_lm(spark, sf_dir):
+    return suffix_lm.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_line_crf_quality(spark, sf_dir):
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
