@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, packing, quality, simhash, suffix_lm, toxicity
+from . import bpe, exact_dedup, html_text, packing, quality, simhash, suffix_lm, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -61,3 +61,8 @@ def op8_suffix_tree_lm(spark, sf_dir):
 @query
 def op10_line_crf_quality(spark, sf_dir):
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_html_differencing(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
