@@ -12,7 +12,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .toxicity import sample
@@ -220,13 +220,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most:
     return fit([(with_neighbours(o), s) for o, s, _ in rows], np.array([y for *_, y in rows], int), threshold)
 
 
-def score(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, most: int = SAMPLE, keep: bool = False) -> DataFrame:
-    """Per document ``doc_id, held_out, score, predicted``; with ``keep`` all columns and these last two.
-
-    Only whole texts make scores.  Null texts count as empty: one empty line; repeated rows get equal
-    scores; a null doc_id counts as the empty string in ``held_out``; an empty table gives no rows.
-    """
-    field = docs.sparkSession.sparkContext.broadcast(train(docs.withColumnRenamed(text_col, "text"), labels, label_col, most, id_col, threshold))
+def scorer(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, most: int = SAMPLE) -> Column:
+    """The score of ``text_col`` by a field trained on the labelled rows of ``docs``."""
+    named = docs.select(F.col(id_col), F.col(text_col).alias("text"))
+    field = docs.sparkSession.sparkContext.broadcast(train(named, labels, label_col, most, id_col, threshold))
 
     @F.pandas_udf("double")
     def run(text):
@@ -234,9 +231,17 @@ def score(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
 
         return pd.Series(field.value.scores(list(text)), index=text.index, dtype=float)
 
-    value = run(F.coalesce(F.col(text_col), F.lit("")))
-    if keep:
-        return docs.withColumn("score", value).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return run(F.coalesce(docs[text_col], F.lit("")))
+
+
+def score(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, most: int = SAMPLE) -> DataFrame:
+    """Per document ``doc_id, held_out, score, predicted``.
+
+    Only whole texts make scores.  Null texts count as empty: one empty line; repeated rows get equal
+    scores; a null doc_id counts as the empty string in ``held_out``; further columns are ignored; an
+    empty table gives no rows.
+    """
+    value = scorer(docs, labels, label_col, id_col, text_col, threshold, most)
     rest = F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8")) % 5
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), (rest == 0).alias("held_out"), value.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_text, packing, quality, simhash, suffix_lm, toxicity
+from . import bpe, exact_dedup, hnsw, html_text, packing, quality, shards, simhash, suffix_lm, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -66,3 +66,13 @@ def op10_line_crf_quality(spark, sf_dir):
 @query
 def op9_html_differencing(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op2_kd_tree_shards(spark, sf_dir):
+    return shards.shard(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_hnsw_neighbours(spark, sf_dir):
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"))

@@ -327,3 +327,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = fp.join(named, "fp", "left")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return out.select("doc_id", hexed, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 3, width: int = 3) -> DataFrame:
+    """The documents, with all their columns, but of each component only that with the smallest doc_id.
+
+    Repeated rows of one doc_id stay together, as do rows without a doc_id.
+    """
+    groups = near_groups(docs, id_col, text_col, tau, width)
+    gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, F.col("gone_id") == docs[id_col], "left_anti")

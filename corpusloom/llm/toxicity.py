@@ -13,7 +13,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows to learn from at most, taken by a hash of their ids.
@@ -134,23 +134,27 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: in
     return fit([rows[i] for i in order], label[order])
 
 
-def score(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, most: int = SAMPLE, keep: bool = False) -> DataFrame:
-    """Per document ``doc_id, held_out, score, predicted``; with ``keep`` all columns and these last two.
-
-    Only whole texts make scores.  Null texts count as empty and get the score of a text without
-    known terms; repeated rows get equal scores; a null doc_id counts as the empty string in
-    ``held_out``; an empty table gives no rows.
-    """
-    machine = docs.sparkSession.sparkContext.broadcast(train(docs.withColumnRenamed(text_col, "text"), labels, label_col, most, id_col))
+def scorer(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE) -> Column:
+    """The score of ``text_col`` by a machine trained on the labelled rows of ``docs``."""
+    named = docs.select(F.col(id_col), F.col(text_col).alias("text"))
+    machine = docs.sparkSession.sparkContext.broadcast(train(named, labels, label_col, most, id_col))
 
     @F.pandas_udf("double")
     def run(text):
         m = machine.value
         return text.map(m.score).astype(float) if len(text) else text.astype(float)
 
-    value = run(F.coalesce(F.col(text_col), F.lit("")))
-    if keep:
-        return docs.withColumn("score", value).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return run(F.coalesce(docs[text_col], F.lit("")))
+
+
+def score(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, most: int = SAMPLE) -> DataFrame:
+    """Per document ``doc_id, held_out, score, predicted``.
+
+    Only whole texts make scores.  Null texts count as empty and get the score of a text without
+    known terms; repeated rows get equal scores; a null doc_id counts as the empty string in
+    ``held_out``; further columns are ignored; an empty table gives no rows.
+    """
+    value = scorer(docs, labels, label_col, id_col, text_col, most)
     rest = F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8")) % 5
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), (rest == 0).alias("held_out"), value.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
