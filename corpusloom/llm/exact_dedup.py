@@ -18,6 +18,8 @@ from ._common import staged
 #: Entries a bucket holds before it is split, and the depth at which doubling stops.
 BUCKET_ENTRIES = 250_000
 MAX_DEPTH = 14
+#: Hashes of several rows that are sent to all tasks at most.
+BROADCAST_KEYS = 1_000_000
 
 
 def directory(cells: dict[int, int], capacity: int = BUCKET_ENTRIES, max_depth: int = MAX_DEPTH) -> list[tuple[int, int]]:
@@ -67,8 +69,8 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     largest doc_id of a group all are marked as kept, as they can't be told apart.  Other columns
     are ignored; an empty table gives no rows.
 
-    Texts are moved only where one hash has several rows, and there once for each distinct text and
-    task, since copies are summed before the shuffle.
+    Texts are moved once for each distinct text and task, since copies are summed before the shuffle,
+    and while the hashes that have several rows number BROADCAST_KEYS at most, only the texts of these.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     hashed = src.select("doc_id", F.xxhash64("text").alias("h"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
@@ -76,8 +78,12 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     index = build_index(keyed, capacity)
     # owner tasks: chains of several rows, whose texts are compared byte by byte
     chains = index.where("entries > 1").select("bucket", "h")
-    texts = src.select("doc_id", F.xxhash64("text").alias("h"), "text").join(chains, "h")
-    groups = texts.groupBy("bucket", "h", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    texts = src.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    totals = F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")
+    if chains.count() <= BROADCAST_KEYS:  # 12 bytes a key
+        groups = texts.join(F.broadcast(chains), "h").groupBy("bucket", "h", "text").agg(*totals)
+    else:
+        groups = texts.groupBy("h", "text").agg(*totals).where("group_size > 1").drop("bucket")
     groups = groups.select("h", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"), "keep_id", "group_size")
     out = keyed.join(groups, ["h", "text_sha256"], "left")
     alone = F.col("group_size").isNull()
