@@ -31,9 +31,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """Adds a column that is worked out once a row: plain projections would be merged into each later use."""
-    return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))
+def once(df: DataFrame, **values: Column) -> DataFrame:
+    """Adds columns that are worked out once a row: plain projections would be merged into each later use."""
+    return df.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))))
 
 
 def content_hash(c: Column) -> Column:
@@ -188,8 +188,8 @@ def admit(urls: DataFrame, rules, url_col: str = "url", order_col: str = "seq",
     """
     from ..functions import urls as U
 
-    rows = once(urls, "normalized", U.normalize(F.col(url_col)))
-    rows = once(rows, "_bad", F.col("normalized").isNull() | rules.reject_reason(F.col("normalized")).isNotNull())
+    rows = once(urls, normalized=U.normalize(F.col(url_col)))
+    rows = once(rows, _bad=F.col("normalized").isNull() | rules.reject_reason(F.col("normalized")).isNotNull())
     rows = first_wins(rows, F.when(~F.col("_bad"), F.col("normalized")), [order_col], "_first")
     if seen is not None:
         rows = rows.join(seen.select("normalized").distinct().withColumn("_seen", F.lit(True)), "normalized", "left")

@@ -73,7 +73,7 @@ def _admit(found: DataFrame, seen: DataFrame, rules, max_depth: int) -> DataFram
     """New items of ``found(url, depth, priority, seq)`` in normal form, first ones only."""
     if max_depth > 0:
         found = found.where(F.col("depth") <= max_depth)
-    rows = dedup.once(found.withColumnRenamed("url", "_raw"), "url", U.normalize(F.col("_raw"))).drop("_raw").where("url is not null")
+    rows = dedup.once(found.withColumnRenamed("url", "_raw"), url=U.normalize(F.col("_raw"))).drop("_raw").where("url is not null")
     rows = rows.where(rules.reject_reason(F.col("url")).isNull())
     first = rows.groupBy("url").agg(F.min(F.struct(-F.col("priority"), "depth", "seq")).alias("m"))
     rows = first.select("url", F.col("m.depth").alias("depth"), (-F.col("m.col1")).alias("priority"), F.col("m.seq").alias("seq"))

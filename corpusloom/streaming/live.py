@@ -20,7 +20,7 @@ def pages(spark: SparkSession, path: str, per_trigger: int = 64) -> DataFrame:
 
 def admitted(stream: DataFrame, rules: U.Rules, watermark: str = "1 hour") -> DataFrame:
     """Valid URLs, each normal form once while its state lives."""
-    rows = dedup.once(stream, "normalized", U.normalize(F.col("url"))).where("normalized is not null")
+    rows = dedup.once(stream, normalized=U.normalize(F.col("url"))).where("normalized is not null")
     rows = rows.where(rules.reject_reason(F.col("normalized")).isNull())
     return rows.withWatermark("fetched_at", watermark).dropDuplicatesWithinWatermark(["normalized"])
 
