@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 SAMPLE = 12_000
 BITS, TERMS, FACTORS = 18, 1536, 6
 EPOCHS, BATCH, RATE, DECAY = 24, 256, 0.02, 2e-4
+#: Few rows are gone through more often, up to so many steps.
+STEPS = 600
 #: A toxic row counts as so many others, as these are few.
 TOXIC_WEIGHT = 4.0
 PREFIXES = (4, 5, 6, 7, 8)
@@ -92,7 +94,8 @@ def fit(rows: list[np.ndarray], label: np.ndarray, seed: int = 7) -> Machine:
     w, v, bias = np.zeros(len(terms), np.float32), rng.normal(0, 0.02, (len(terms), FACTORS)).astype(np.float32), float(np.log(TOXIC_WEIGHT * pos / (n - pos)))
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (w, v)] + [[np.zeros(1), np.zeros(1)]]
     b, step = np.array([bias]), 0
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS // -(-n // BATCH)))
+    for epoch in range(epochs):
         order = rng.permutation(n)
         for s in range(0, n, BATCH):
             part = order[s : s + BATCH]
@@ -103,7 +106,7 @@ def fit(rows: list[np.ndarray], label: np.ndarray, seed: int = 7) -> Machine:
             gw = xb.T @ g
             gv = xb.T @ (g[:, None] * xv) - gw[:, None] * v
             step += 1
-            rate = RATE * (1 - epoch / EPOCHS)
+            rate = RATE * (1 - epoch / epochs)
             for p, gp, (m, q) in zip((w, v, b), (gw + DECAY * w, gv + DECAY * v, np.array([g.sum()])), state):
                 m += 0.1 * (gp - m)
                 q += 0.001 * (gp**2 - q)
