@@ -62,6 +62,8 @@ class Outcome:
     results: DataFrame
     pending: DataFrame
     stats: dict[str, int] = field(default_factory=dict)
+    #: URLs that this run admitted, for a store that later runs read.
+    seen: DataFrame | None = None
 
 
 def ordered(frontier: DataFrame) -> list:
@@ -80,19 +82,49 @@ def _admit(found: DataFrame, seen: DataFrame, rules, max_depth: int) -> DataFram
     return rows.join(seen, "url", "left_anti")
 
 
+class Robots:
+    """Robots rules from a table, or had for new hosts as they turn up by ``source(hosts) -> raw``."""
+
+    def __init__(self, source, ttl_seconds: int):
+        self.table = source if isinstance(source, DataFrame) else None
+        self.source, self.ttl_seconds = source, ttl_seconds
+
+    def of(self, urls: DataFrame) -> DataFrame:
+        if isinstance(self.source, DataFrame):
+            return self.source
+        hosts = urls.select(F.lower(U.host(F.col("url"))).alias("host"), F.lower(U.domain(F.col("url"))).alias("_bare")).where("host is not null")
+        hosts = hosts.groupBy("_bare").agg(F.min("host").alias("host"))  # rules are kept without a port
+        if self.table is not None:
+            hosts = hosts.join(politeness.live(self.table).select(F.col("host").alias("_bare")), "_bare", "left_anti")
+        got = politeness.robots_table(self.source(hosts.select("host")), self.ttl_seconds)
+        rows = got if self.table is None else got.unionByName(politeness.live(self.table))
+        latest = rows.groupBy("host").agg(F.max_by(F.struct(*rows.columns[1:]), "fetched_at").alias("r"))
+        self.table = dedup.written(latest.select("host", "r.*"), "robots")
+        return self.table
+
+
+def sitemap_documents(source, roots: DataFrame) -> DataFrame:
+    """``(doc, body)`` of the roots and, one level down, of what they index, by ``source(docs) -> (doc, body)``."""
+    first = dedup.written(source(roots.select("doc").distinct()), "sitemaps")
+    below = tables.sitemap_locs(first).where("kind = 'sitemap'").select(F.col("loc").alias("doc")).distinct()
+    return dedup.written(first.unionByName(source(below.join(first, "doc", "left_anti"))), "sitemaps")
+
+
 def crawl(
-    spark: SparkSession, cfg: Config, seeds, fetch: Fetcher, robots: DataFrame | None = None, sitemaps: DataFrame | None = None, seen: DataFrame | None = None, resume: DataFrame | None = None,
+    spark: SparkSession, cfg: Config, seeds, fetch: Fetcher, robots: DataFrame | Callable | None = None, sitemaps: DataFrame | Callable | None = None, seen: DataFrame | None = None, resume: DataFrame | None = None,
     headless: tuple[Fetcher, tuple[str, ...]] | None = None,
 ) -> Outcome:
     """Crawls from ``seeds`` until nothing is left or ``max_pages`` were dispatched.
 
-    ``robots`` is a table as politeness.robots_table gives; ``sitemaps(doc, body)`` turns sitemap
-    discovery on; ``seen(url)`` holds URLs of earlier runs; ``resume`` pending items of one;
+    ``robots`` is a table as politeness.robots_table gives, or a function of hosts; ``sitemaps(doc, body)``,
+    or a function of documents, turns sitemap discovery on; ``seen(url)`` holds URLs of earlier runs; ``resume`` pending items of one;
     ``headless`` another fetcher for the named hosts.  Filters act on the output only: links of
     duplicates and rejected pages are followed.
     """
     rules, options, c = url_rules(cfg), extractor_options(cfg), cfg.crawler
     stats = {"dispatched": 0, "dropped": 0, "disallowed": 0, "retried": 0, "rounds": 0}
+    rules_for = Robots(robots, cfg.robots.cache_duration_s) if robots is not None else None
+    admitted: list[DataFrame] = []
     known = seen.select("url").distinct() if seen is not None else spark.createDataFrame([], "url string")
     empty = spark.createDataFrame([], tables.FRONTIER)
     frontier = empty
@@ -103,28 +135,27 @@ def crawl(
     found = start.select("url", F.lit(0).alias("depth"), F.lit(SEED).alias("priority"), "seq")
     if sitemaps is not None:
         roots = start.select(F.col("url").alias("seed"), tables.default_sitemap(F.col("url")).alias("doc"), F.lit(0).alias("pos"))
-        if robots is not None:
-            told = politeness.check_robots(start, robots, cfg.robots.user_agent).select(F.col("url").alias("seed"), F.posexplode("robots.sitemaps").alias("pos", "doc"))
+        if rules_for is not None:
+            told = politeness.check_robots(start, rules_for.of(start), cfg.robots.user_agent).select(F.col("url").alias("seed"), F.posexplode("robots.sitemaps").alias("pos", "doc"))
             roots = told.select("seed", "doc", "pos").unionByName(roots.join(told, "seed", "left_anti"))
-        listed = tables.discover(sitemaps, roots)
+        listed = tables.discover(sitemaps if isinstance(sitemaps, DataFrame) else sitemap_documents(sitemaps, roots), roots)
         found = found.unionByName(listed.select(F.col("loc").alias("url"), F.lit(0).alias("depth"), F.lit(SITEMAP).alias("priority"), (F.lit(1 << 40) + F.col("pos")).alias("seq")))
     results: list[DataFrame] = []
     new = _admit(found, known, rules, c.max_depth)
     while True:
         new = dedup.written(new.select("url", "depth", F.lit(0).alias("attempt"), F.lit(False).alias("retry"), "priority", "seq"), "new")
+        admitted.append(new.select("url"))
+        # what is known is a list of written parts, put together now and then
+        known = known.union(new.select("url"))
+        if len(admitted) % 16 == 0:
+            known = dedup.written(known, "seen")
         room = cfg.frontier.queue_capacity
         if room > 0:  # what does not fit is dropped, but counts as seen
-            space = max(0, room - frontier.count())
-            total = new.count()
+            space, total = max(0, room - (0 if frontier is empty else frontier.count())), new.count()
             if total > space:
                 stats["dropped"] += total - space
-                known = dedup.written(known.union(new.select("url")), "seen")
                 new = dedup.written(new.orderBy(*ordered(new)).limit(space), "new")
-            else:
-                known = dedup.written(known.union(new.select("url")), "seen")
-        else:
-            known = dedup.written(known.union(new.select("url")), "seen")
-        frontier = dedup.written(frontier.unionByName(new), "frontier")
+        frontier = new if frontier is empty else dedup.written(frontier.unionByName(new), "frontier")
         left = c.max_pages - stats["dispatched"]
         if left <= 0 or frontier.isEmpty():
             break
@@ -139,8 +170,8 @@ def crawl(
         stats["dispatched"] += min(n_fresh, left)
         stats["rounds"] += 1
         sent = batch
-        if robots is not None and cfg.robots.enabled:
-            judged = politeness.check_robots(batch, robots, cfg.robots.user_agent)
+        if rules_for is not None and cfg.robots.enabled:
+            judged = politeness.check_robots(batch, rules_for.of(batch), cfg.robots.user_agent)
             sent = dedup.written(judged.where(F.coalesce(F.col("robots.allowed"), F.lit(True))).drop("robots", "robots_error"), "sent")
             stats["disallowed"] += batch.count() - sent.count()
         if headless is not None:
@@ -165,14 +196,18 @@ def crawl(
         rows = dedup.written(rows, "results")
         results.append(rows)
         back = rows.where("retried").select("url", "depth", (F.col("attempt") + 1).alias("attempt"), F.lit(True).alias("retry"), F.lit(FOUND).alias("priority"), "seq")
-        stats["retried"] += back.count()
-        frontier = frontier.unionByName(back)
+        n_back = back.count()
+        stats["retried"] += n_back
+        frontier = frontier.unionByName(back) if n_back else frontier
         # numbers follow the parents' order and then the place on the page
         kids = rows.select("priority", F.col("depth").alias("d"), "seq", F.posexplode("links").alias("pos", "url")).orderBy(F.desc("priority"), "d", "seq", "pos")
         kids = kids.select("url", (F.col("d") + 1).alias("depth"), F.lit(FOUND).alias("priority"), F.monotonically_increasing_id().alias("seq"))
         new = _admit(kids, known, rules, c.max_depth)
+    own = admitted[0]
+    for x in admitted[1:]:
+        own = own.union(x)
     if not results:
-        return Outcome(spark.createDataFrame([], "url string, success boolean, retried boolean, outcome string"), frontier, stats | dict.fromkeys(("received", "succeeded", "failed", "duplicate", "near_duplicate", "wrong_language"), 0))
+        return Outcome(spark.createDataFrame([], "url string, success boolean, retried boolean, outcome string"), frontier, stats | dict.fromkeys(("received", "succeeded", "failed", "duplicate", "near_duplicate", "wrong_language"), 0), own)
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)
@@ -184,7 +219,7 @@ def crawl(
     final = final.unionByName(out.where("retried"), allowMissingColumns=True).drop("_text", "_lang", "_order")
     final = dedup.written(final, "outcome")
     row = metrics.crawl_stats(final, stats["dispatched"], stats["dropped"]).head().asDict()
-    return Outcome(final, frontier, stats | row)
+    return Outcome(final, frontier, stats | row, own)
 
 
 def bfs_depths(edges: DataFrame, roots: DataFrame, max_depth: int = 0) -> DataFrame:

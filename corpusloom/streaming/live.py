@@ -25,11 +25,15 @@ def admitted(stream: DataFrame, rules: U.Rules, watermark: str = "1 hour") -> Da
     return rows.withWatermark("fetched_at", watermark).dropDuplicatesWithinWatermark(["normalized"])
 
 
-def records(stream: DataFrame, options: Options = Options(), watermark: str = "1 hour") -> DataFrame:
-    """Extracted pages above the quality gate, each clean text once while its state lives."""
+def records(stream: DataFrame, options: Options = Options(), watermark: str | None = "1 hour") -> DataFrame:
+    """Extracted pages above the quality gate, each clean text once while its state lives.
+
+    ``watermark`` is None for a stream that has one, as ``admitted`` gives.
+    """
     rows = extract(stream, options).where("reject_reason is null")
     rows = rows.withColumn("content_hash", dedup.content_hash(F.col("content.clean_text")))
-    return rows.withWatermark("fetched_at", watermark).dropDuplicatesWithinWatermark(["content_hash"]).drop("content_hash")
+    rows = rows.withWatermark("fetched_at", watermark) if watermark else rows
+    return rows.dropDuplicatesWithinWatermark(["content_hash"]).drop("content_hash")
 
 
 def write(rows: DataFrame, path: str, checkpoint: str):
