@@ -94,7 +94,9 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without their dropped copies, with all their columns."""
+    """The documents without their dropped copies, with all their columns; a copy without a doc_id goes too."""
     sha = F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256)
     gone = duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")).distinct()
-    return docs.join(gone, (F.col("gone_id") == docs[id_col]) & (F.col("gone_sha") == sha), "left_anti")
+    gone = staged(gone, "gone")
+    few = gone.count() <= BROADCAST_KEYS // 4  # else both sides are shuffled
+    return docs.join(F.broadcast(gone) if few else gone, F.col("gone_id").eqNullSafe(docs[id_col]) & (F.col("gone_sha") == sha), "left_anti")

@@ -22,6 +22,8 @@ from ._common import components, staged
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Buckets with more rows are dealt out again on further bits.
 HOT_BUCKET = 4096
+#: Ids of dropped rows that are sent to all tasks at most.
+BROADCAST_IDS = 1_000_000
 #: Within a task, buckets up to this size are compared by shifted columns, larger ones by search.
 SMALL_BUCKET = 24
 
@@ -335,5 +337,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ta
     Repeated rows of one doc_id stay together, as do rows without a doc_id.
     """
     groups = near_groups(docs, id_col, text_col, tau, width)
-    gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("gone_id") == docs[id_col], "left_anti")
+    gone = staged(groups.where("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    few = gone.count() <= BROADCAST_IDS  # else both sides are shuffled
+    return docs.join(F.broadcast(gone) if few else gone, F.col("gone_id") == docs[id_col], "left_anti")
