@@ -199,3 +199,13 @@ def test_rare_words_are_joined_and_the_tree_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(suffix_lm, "PAIRS", 50)
     assert all(math.isfinite(r.score) for r in suffix_lm.score(frame(spark, rows)).collect())
     assert suffix_lm.score(frame(spark, [])).count() == 0
+
+
+def test_no_pair_is_left_out_of_a_large_tree(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, " ".join("".join(rng.choice("abcé") for _ in range(rng.randrange(1, 9))) for _ in range(30))) for i in range(120)] + [(200, None)]
+    want = {r.doc_id: r.score for r in suffix_lm.score(frame(spark, rows)).collect()}
+    monkeypatch.setattr(suffix_lm, "PAIRS", 50)
+    monkeypatch.setattr(suffix_lm, "GROUPED", 300, raising=False)
+    got = {r.doc_id: r.score for r in suffix_lm.score(frame(spark, rows)).collect()}
+    assert got == pytest.approx(want, abs=1e-6)
