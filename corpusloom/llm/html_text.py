@@ -14,6 +14,7 @@ import zlib
 from bisect import bisect_left
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -184,43 +185,123 @@ def _prefix(a: str, b: str) -> int:
     return n
 
 
-def _pair(batches):
-    """Shared lines of each undeclared page with the nearer of its neighbours; rows come sorted by host and path.
+class Run:
+    """Pages with the same lines that follow one another in a host; of its rows the ids and paths are held."""
 
-    Pages with the same lines are no pair for each other.  Three rows are held at a time.
-    """
+    def __init__(self, host: str, path: str, marks: list):
+        self.host, self.marks, self.first, self.last = host, marks, path, path
+        self.rows: list[tuple] = []
+
+
+def _shared(marks: list, path: str, near: list[tuple], known: dict) -> list[int]:
+    """Lines of a page shared with the nearest of ``near`` by path; ``known`` keeps what its run has by position in ``near``."""
+    i = max(range(len(near)), key=lambda j: _prefix(near[j][0], path))
+    if i not in known:
+        known[i] = sorted(common(marks, near[i][1]))
+    return known[i]
 
-    def rows():
-        for b in batches:
-            yield from zip(*[c.to_pylist() for c in b.columns])
 
-    def result(prev, cur, nxt):
-        rid, host, path, needs, marks = cur
-        near = [x for x in (prev, nxt) if x and x[1] == host and x[4] != marks]
-        if not needs or not near:
-            return None
-        best = max(near, key=lambda x: _prefix(x[2], path))
-        return rid, sorted(common(marks, best[4]))
+PAIRED = "rid long, shared array<int>, part int, side int, host string, path string, marks array<long>"
+#: Values of ``side``: rows of the first and of the last run of a range, and pages at its edges.
+FIRST, LAST, HEAD, SECOND, TAIL, BEFORE = range(6)
 
+
+def _pair(batches):
+    """Shared lines of each undeclared page with the nearer of the differing pages before and after it.
+
+    Rows come sorted by host and path.  Rows of the first and the last run of a range are left to
+    ``_beyond``, with the two pages at each edge that differ.
+    """
+    part = TaskContext.get().partitionId()
     out: list[tuple] = []
-    prev = cur = None
-    for nxt in rows():
-        if cur:
-            got = result(prev, cur, nxt)
-            if got:
-                out.append(got)
+
+    def pack():
+        kinds = [f.split()[1] for f in PAIRED.split(", ")]
+        types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
+        cols = [pa.array([r[i] for r in out], types[k]) for i, k in enumerate(kinds)]
+        out.clear()
+        return pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in PAIRED.split(", ")])
+
+    def left(run, side):
+        for rid, path in run.rows:
+            out.append((rid, None, part, side, None, path, None))
             if len(out) >= 1000:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.list_(pa.int32()))], ["rid", "shared"])
-                out = []
-            if cur[4] != nxt[4] or cur[1] != nxt[1]:
-                prev = cur
-        cur = nxt
-    if cur:
-        got = result(prev, cur, None)
-        if got:
-            out.append(got)
+                yield pack()
+
+    def edge(side, host, path, marks):
+        out.append((None, None, part, side, host, path, marks))
+
+    def close(before, run, after):
+        """``run`` has ended; ``before`` is the run ahead of it in the range."""
+        if before is None:
+            edge(HEAD, run.host, run.first, run.marks)
+            if after:
+                edge(SECOND, after.host, after.first, after.marks)
+            yield from left(run, FIRST)
+        elif after is None:
+            yield from left(run, LAST)
+        else:
+            near = [(path, x.marks) for path, x in ((before.last, before), (after.first, after)) if x.host == run.host]
+            known: dict = {}
+            for rid, path in run.rows if near else ():
+                out.append((rid, _shared(run.marks, path, near, known), None, None, None, None, None))
+                if len(out) >= 1000:
+                    yield pack()
+        run.rows = []
+
+    before = run = None
+    for b in batches:
+        for rid, host, path, needs, marks in zip(*[c.to_pylist() for c in b.columns[:5]]):
+            if run is None:
+                run = Run(host, path, marks)
+            elif run.host != host or run.marks != marks:
+                after = Run(host, path, marks)
+                yield from close(before, run, after)
+                before, run = run, after
+            run.last = path
+            if needs:
+                run.rows.append((rid, path))
+    if run:
+        yield from close(before, run, None)
+        edge(TAIL, run.host, run.last, run.marks)
+        if before:
+            edge(BEFORE, before.host, before.last, before.marks)
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.list_(pa.int32()))], ["rid", "shared"])
+        yield pack()
+
+
+def _beyond(edges: list[tuple]) -> dict[tuple[int, int], tuple[list, list[tuple]]]:
+    """By range and side the lines of its first or last run, and the path and lines of the differing pages about it.
+
+    ``edges``: ``part, side, host, path, marks``.  A run may go on over any number of ranges.
+    """
+    at: dict[int, dict[int, tuple]] = {}
+    for part, side, *page in edges:
+        at.setdefault(part, {})[side] = page
+    parts = sorted(at)
+
+    def carry(order, mine, theirs, second):
+        """The first differing page beyond each range, by the range that lies there."""
+        found: dict[int, list | None] = {}
+        for p, q in zip(order, [None, *order]):
+            host, _, marks = at[p][mine]
+            if q is None or at[q][theirs][0] != host:
+                found[p] = None
+            elif at[q][theirs][2] != marks:
+                found[p] = at[q][theirs]
+            else:  # the run goes on there, to its other edge if nothing follows
+                found[p] = at[q].get(second) if second in at[q] else found[q]
+            if found[p] and found[p][0] != host:
+                found[p] = None
+        return found
+
+    ahead, behind = carry(parts, HEAD, TAIL, BEFORE), carry(parts[::-1], TAIL, HEAD, SECOND)
+    out = {}
+    for p in parts:
+        e = at[p]
+        for side, run, near in ((FIRST, e[HEAD], (ahead[p], e.get(SECOND, behind[p]))), (LAST, e[TAIL], (e.get(BEFORE, ahead[p]), behind[p]))):
+            out[p, side] = run[2], [(x[1], x[2]) for x in near if x and x[0] == run[0]]
+    return out
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -228,7 +309,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Null and empty html gives an empty text.  Repeated rows come back as often as they came.  A null
     URL has the empty host.  Pages of a host lie in ranges by host and path, so a large host is
-    spread; the first or last page of a range is paired with the neighbour that it has there.
+    spread; pages at the edges of a range are paired over the edge, so ranges don't change texts.
     Further columns are ignored; an empty table gives no rows.
     """
     kind = "rid long, page_id long, url string, text string, lines array<string>, marks array<long>"
@@ -253,10 +334,25 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     url = F.coalesce("url", F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", "")
-    keyed = parsed.select("rid", host.alias("host"), path.alias("path"), F.col("text").isNull().alias("needs"), "marks")
+    keyed = parsed.select("rid", host.alias("host"), path.alias("path"), F.col("text").isNull().alias("needs"), "marks", F.xxhash64("marks").alias("same"))
     need = open_.select(host.alias("host")).distinct()  # hosts whose pages all declare their article need no pairs
-    keyed = keyed.join(need, "host", "left_semi").select("rid", "host", "path", "needs", "marks")
-    shared = keyed.repartitionByRange("host", "path", "rid").sortWithinPartitions("host", "path", "rid").mapInArrow(_pair, "rid long, shared array<int>")
+    keyed = keyed.join(need, "host", "left_semi").select("rid", "host", "path", "needs", "marks", "same")
+    order = ["host", "path", "same", "rid"]  # copies of a page follow one another
+    paired = staged(keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_pair, PAIRED), "pairs")
+    edges = paired.where(F.col("side") >= HEAD).select("part", "side", "host", "path", "marks").toArrow()  # four pages a range at most
+    near = pages.sparkSession.sparkContext.broadcast(_beyond(list(zip(*[c.to_pylist() for c in edges.columns]))))
+
+    def over(batches):
+        known: dict = {}
+        for b in batches:
+            out = []
+            for part, side, path in zip(*[c.to_pylist() for c in b.columns[1:4]]):
+                marks, pages_near = near.value[part, side]
+                out.append(_shared(marks, path, pages_near, known.setdefault((part, side), {})) if pages_near else [])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], ["rid", "shared"])
+
+    at_edges = paired.where(F.col("side") <= LAST).select("rid", "part", "side", "path").mapInArrow(over, "rid long, shared array<int>")
+    shared = paired.where("side is null").select("rid", "shared").unionByName(at_edges)
     left = F.filter("lines", lambda x, i: ~F.array_contains(F.coalesce("shared", F.array().cast("array<int>")), i))
     differed = open_.join(shared, "rid", "left").select("page_id", "url", F.array_join(left, " ").alias("text"))
     return whole.unionByName(differed).withColumn("n_chars", F.char_length("text").cast("long"))

@@ -91,3 +91,22 @@ def test_declared_article_and_differencing(spark):
     assert got[5].text == got[6].text == "" and got[5].url is None
     assert got[8].text == "plain text <here> and there" and got[9].text == "deep"
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_every_page_with_a_differing_page_in_its_host_is_paired(spark):
+    rows = [(i, f"http://a.com/p{i:02d}", page(["Copied story"])) for i in range(12)] + [(12, "http://a.com/p12", page(["Other story"]))]
+    rows += [(20 + i, f"http://b.com/q{i:02d}", page(["Opening story" if i == 0 else "Repeated story"])) for i in range(9)] + [(40 + i, f"http://h{i}.com/{j}", page([f"Page {j}"])) for i in range(5) for j in (1, 2)]
+    rows += [(60 + i, "http://c.com/same", page(["Lonely story"])) for i in range(6)]
+    df = spark.createDataFrame([(i, u, h) for i, u, h in rows], "page_id long, url string, html string")
+    want = {(u, h): " ".join(x for x in ("Copied story", "Other story", "Opening story", "Repeated story", "Page 1", "Page 2") if x in h) for _, u, h in rows}
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for n in ("1", "3", "17"):
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = sorted((r.page_id, r.url, r.text) for r in html_text.extract(df).collect())
+            lonely = "Home News About us Lonely story All rights"  # no differing page in its host
+            assert got == sorted((i, u, want[u, h] or lonely) for i, u, h in rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
