@@ -14,6 +14,8 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import json
+import os
 import re
 
 import numpy as np
@@ -91,7 +93,7 @@ class Encoder:
     """Encodes whole texts chunk by chunk; ids are kept as packed little-endian 32-bit numbers."""
 
     def __init__(self, path: str, fast: bool = False):
-        """``fast``: encode whole texts with a rank file by tiktoken, which gives the same ids."""
+        """``fast``: encode whole texts with a rank file by tiktoken, which gives the same ids; added tokens are text here."""
         self.known: dict[str, bytes] = {}
         if fast:
             import public_tokenizers
@@ -122,12 +124,30 @@ class Encoder:
 @functools.lru_cache(maxsize=4)
 def encoder(path: str, fast: bool = False) -> Encoder:
     """One encoder for each worker process and file, so that its table outlives a task."""
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Encoder(path, fast)
 
 
+@functools.lru_cache(maxsize=4)
+def added_tokens(path: str) -> dict[str, int]:
+    """Added tokens of a tokenizers .json file, or of the one beside a .tiktoken rank file; none if there is no such file."""
+    path = re.sub(r"\.tiktoken$", ".json", path)
+    if not os.path.exists(path):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
+def packed_with_added(enc: Encoder, texts: list[str], added: dict[str, int]) -> list[bytes]:
+    """``enc.packed``, but each literal of ``added`` is its own id, as the .json file has it by default."""
+    if not added:
+        return enc.packed(texts)
+    literal = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+    parts = [literal.split(t) if any(x in t for x in added) else [t] for t in texts]
+    got = iter(enc.packed([p for ps in parts for p in ps[::2]]))
+    return [b"".join([added[p].to_bytes(4, "little") if i % 2 else next(got) for i, p in enumerate(ps)]) for ps in parts]
+
+
 def small_lists(texts: list[str | None], most: int = 4_000_000):
     """Runs of ``texts`` with about ``most`` characters each, so that memory does not follow the batch."""
     run, held = [], 0

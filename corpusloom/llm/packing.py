@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import staged
-from .bpe import encoder, small_lists
+from .bpe import added_tokens, encoder, packed_with_added, small_lists
 
 #: Pieces to a group.
 GROUP = 20_000
@@ -128,17 +128,18 @@ def pieces(docs: DataFrame, path: str, size: int = 2048, id_col: str = "doc_id",
     """Tokens of every document, cut: ``doc_id, piece, start, length, ids_crc32`` and, if asked for, ``ids``.
 
     A document's tokens are its ids and then ``end_id``, so a null or empty text is one token long.
+    Added tokens of the tokenizers file are one id each wherever a text holds them.
     """
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
 
     def run(batches):
-        enc = encoder(path, fast)
+        enc, added = encoder(path, fast), added_tokens(path)
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             ids, at = b.column(0).to_pylist(), 0
             for texts in small_lists(b.column(1).to_pylist()):
                 out: list[list] = [[] for _ in range(5 + keep_ids)]
-                for doc, packed in zip(ids[at : at + len(texts)], enc.packed(texts)):
+                for doc, packed in zip(ids[at : at + len(texts)], packed_with_added(enc, texts, added)):
                     packed += end
                     for k, (start, n) in enumerate(cut(len(packed) // 4, size)):
                         part = packed[4 * start : 4 * (start + n)]

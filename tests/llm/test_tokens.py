@@ -104,3 +104,16 @@ def test_packing_end_to_end(spark):
     assert packing.pack_documents(df.limit(0), path).count() == 0
     seq = packing.sequences(packing.place(packing.pieces(df, path, 128, keep_ids=True), 128)).collect()
     assert sum(len(r.ids) for r in seq) == total and max(len(r.ids) for r in seq) <= 128
+
+
+def test_packing_encodes_added_tokens_as_the_tokenizers_file(spark):
+    rng = random.Random(6)
+    rows = [(i, "".join(rng.choice([*PARTS, "<|endoftext|>", "<|endoftext", "|>"]) for _ in range(rng.randrange(20)))) for i in range(400)] + [(900, "<|endoftext|>"), (901, None)]
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: tok.encode(t or "", add_special_tokens=False).ids + [0] for i, t in rows}
+    for fast in (True, False):
+        got = {r.doc_id: list(r.ids) for r in packing.pieces(df, public_tokenizers.path("byte_bpe_50k.tiktoken"), keep_ids=True, fast=fast).collect()}
+        assert got == want
+    got = packing.pack_documents(df, public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in got} == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want.items()}
