@@ -1,9 +1,11 @@
 """Exact duplicates through an extendible-hash index on shared files.
 
-The index has an entry per distinct hash of a text.  Its directory starts with one bucket and
-doubles while a bucket is overfull; entries are written to shared files by bucket, and the task that
-owns a range of keys follows the chain of each hash: texts under one hash are told apart by their
-bytes.  DataFrame functions only.
+The index has an entry for each distinct hash of a text: its bucket, its number of rows and the
+largest doc_id.  The directory starts with one bucket and doubles while a bucket is overfull; entries
+lie on shared files in the order of buckets and hashes.  A hash with one row needs no text.  The
+distinct texts of every other hash go to the task that owns its key range, together with that range
+of the index; there the texts under one hash form a chain and are told apart by their bytes.
+DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -13,13 +15,15 @@ from itertools import accumulate
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import staged
+from ._common import free_name, staged
 
-#: Entries a bucket holds before it is split, and the depth at which doubling stops.
+#: Entries a bucket holds before it is split, and the bits at which doubling stops (overfull buckets then lie over several ranges).
 BUCKET_ENTRIES = 250_000
-MAX_DEPTH = 14
-#: Hashes of several rows that are sent to all tasks at most.
+MAX_DEPTH = 20
+#: Rows of a table that are sent to all tasks at most.
 BROADCAST_KEYS = 1_000_000
+#: Keys with more rows are always sent to all tasks, so that no join gathers them; there is one for so many rows at most.
+HOT_ROWS = 100_000
 
 
 def directory(cells: dict[int, int], capacity: int = BUCKET_ENTRIES, max_depth: int = MAX_DEPTH) -> list[tuple[int, int]]:
@@ -44,23 +48,35 @@ def directory(cells: dict[int, int], capacity: int = BUCKET_ENTRIES, max_depth:
 
 
 def build_index(keyed: DataFrame, capacity: int = BUCKET_ENTRIES) -> DataFrame:
-    """The index of ``keyed(doc_id, h, n)``: ``(bucket, h, entries, last_id)`` on shared files.
+    """The index of ``keyed(doc_id, h)``: ``(bucket, h, entries, last_id)`` on shared files, by range of bucket and hash.
 
-    Only a histogram of 2^MAX_DEPTH cells at most reaches the driver.
+    A histogram reaches the driver: eight cells for each bucket's worth of entries, 2^MAX_DEPTH at most.
     """
     heads = staged(keyed.groupBy("h").agg(F.count("*").alias("entries"), F.max("doc_id").alias("last_id")), "heads")
-    cell = F.shiftrightunsigned("h", 64 - MAX_DEPTH)
+    depth = min(MAX_DEPTH, max(3, (8 * heads.count() // max(1, capacity)).bit_length()))
+    cell = F.shiftrightunsigned("h", 64 - depth)
     cells = {r[0]: r[1] for r in heads.groupBy(cell.alias("cell")).count().collect()}
     rows = []
-    for number, (depth, prefix) in enumerate(directory(cells, capacity)):
-        shift = MAX_DEPTH - depth
+    for number, (own, prefix) in enumerate(directory(cells, capacity, depth)):
+        shift = depth - own
         rows += [(c, number) for c in range(prefix << shift, (prefix + 1) << shift)]
-    lookup = keyed.sparkSession.createDataFrame(rows, "cell long, bucket int")  # 2^MAX_DEPTH rows
-    spread = heads.select(cell.alias("cell"), "h", "entries", "last_id")
-    placed = spread.join(F.broadcast(lookup), "cell").select("bucket", "h", "entries", "last_id")
+    lookup = keyed.sparkSession.createDataFrame(rows, "cell long, bucket int")
+    placed = heads.withColumn("cell", cell).join(F.broadcast(lookup), "cell").select("bucket", "h", "entries", "last_id")
     return staged(placed.repartitionByRange("bucket", "h").sortWithinPartitions("bucket", "h"), "index")
 
 
+def _joined(rows: DataFrame, keys: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the unique ``keys``; keys of over HOT_ROWS rows, or all if they are few, are broadcast.
+
+    ``how``: inner or left.  Either way gives the same rows.
+    """
+    if keys.count() <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(keys), on, how)
+    hot = F.broadcast(keys.where(F.col(weight) > HOT_ROWS))
+    cold = rows.join(hot, on, "left_anti").join(keys.where(F.col(weight) <= HOT_ROWS), on, how)
+    return cold.unionByName(rows.join(hot, on))
+
+
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_ENTRIES) -> DataFrame:
     """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
@@ -69,23 +85,27 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     largest doc_id of a group all are marked as kept, as they can't be told apart.  Other columns
     are ignored; an empty table gives no rows.
 
-    Texts are moved once for each distinct text and task, since copies are summed before the shuffle,
-    and while the hashes that have several rows number BROADCAST_KEYS at most, only the texts of these.
+    Only texts under hashes of several rows are moved, once for each distinct text and task, as copies
+    are summed before the shuffle.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     hashed = src.select("doc_id", F.xxhash64("text").alias("h"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
     keyed = staged(hashed, "keys")
     index = build_index(keyed, capacity)
-    # owner tasks: chains of several rows, whose texts are compared byte by byte
-    chains = index.where("entries > 1").select("bucket", "h")
+    chained = index.where("entries > 1")
     texts = src.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    totals = F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")
-    if chains.count() <= BROADCAST_KEYS:  # 12 bytes a key
-        groups = texts.join(F.broadcast(chains), "h").groupBy("bucket", "h", "text").agg(*totals)
-    else:
-        groups = texts.groupBy("h", "text").agg(*totals).where("group_size > 1").drop("bucket")
-    groups = groups.select("h", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"), "keep_id", "group_size")
-    out = keyed.join(groups, ["h", "text_sha256"], "left")
+    texts = _joined(texts, chained.select("bucket", "h", "entries"), ["h"], "entries")
+    distinct = texts.groupBy("bucket", "h", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
+    # owner tasks: a range of the index with the texts of its hashes
+    nothing = F.lit(None)
+    ranges = chained.select("bucket", "h", "entries", nothing.cast("string").alias("text"), nothing.cast("long").alias("keep_id"), nothing.cast("long").alias("n"))
+    ranges = ranges.unionByName(distinct.select("bucket", "h", nothing.cast("long").alias("entries"), "text", "keep_id", "n")).repartitionByRange("bucket", "h")
+    chain = F.collect_list(F.when(F.col("n").isNotNull(), F.struct("text", "keep_id", "n"))).alias("chain")
+    owned = ranges.groupBy("bucket", "h").agg(F.max("entries").alias("entries"), chain)
+    links = owned.select("h", "entries", F.explode("chain").alias("c"))
+    groups = links.select("h", F.sha2(F.encode("c.text", "UTF-8"), 256).alias("text_sha256"), "c.keep_id", F.col("c.n").alias("group_size"))
+    groups = staged(groups, "groups")
+    out = _joined(keyed, groups, ["h", "text_sha256"], "group_size", "left")
     alone = F.col("group_size").isNull()
     keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select(
@@ -96,7 +116,8 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without their dropped copies, with all their columns; a copy without a doc_id goes too."""
     sha = F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256)
-    gone = duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")).distinct()
+    name, own = free_name(), free_name()
+    gone = duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias(name), F.col("text_sha256").alias(own)).distinct()
     gone = staged(gone, "gone")
     few = gone.count() <= BROADCAST_KEYS // 4  # else both sides are shuffled
-    return docs.join(F.broadcast(gone) if few else gone, F.col("gone_id").eqNullSafe(docs[id_col]) & (F.col("gone_sha") == sha), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, F.col(name).eqNullSafe(docs[id_col]) & (F.col(own) == sha), "left_anti")

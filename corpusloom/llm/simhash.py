@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, staged
+from ._common import components, free_name, staged
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Buckets with more rows are dealt out again on further bits.
@@ -212,17 +212,21 @@ def _uniform_cost(m: int, n: int, tau: int) -> float:
 
 def _links(batches):
     """Spanning links of each bucket; rows come sorted by key.  Memory holds one batch and one bucket."""
-    rest = None
+    rest: list[list[np.ndarray]] = []  # parts of the last bucket so far
     for b in batches:
+        if not b.num_rows:
+            continue
         cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-        if rest is not None:
-            cols = [np.concatenate([r, c]) for r, c in zip(rest, cols)]
         same = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
         cut = int(np.argmax(same))
-        rest = [c[cut:] for c in cols]
-        yield from _within([c[:cut] for c in cols])
-    if rest is not None:
-        yield from _within(rest)
+        if rest and (cut or rest[0][0][0] != cols[0][0] or rest[0][1][0] != cols[1][0]):
+            yield from _within([np.concatenate(c) for c in zip(*rest, [c[:cut] for c in cols])])
+            rest = []
+        elif cut:
+            yield from _within([c[:cut] for c in cols])
+        rest.append([c[cut:] for c in cols])
+    if rest:
+        yield from _within([np.concatenate(c) for c in zip(*rest)])
 
 
 def _within(cols):
@@ -337,6 +341,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ta
     Repeated rows of one doc_id stay together, as do rows without a doc_id.
     """
     groups = near_groups(docs, id_col, text_col, tau, width)
-    gone = staged(groups.where("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    name = free_name()
+    gone = staged(groups.where("doc_id != component_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
     few = gone.count() <= BROADCAST_IDS  # else both sides are shuffled
-    return docs.join(F.broadcast(gone) if few else gone, F.col("gone_id") == docs[id_col], "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, F.col(name) == docs[id_col], "left_anti")

@@ -17,6 +17,7 @@ ROWS = [(1, "a"), (2, "b"), (3, "a"), (4, None), (5, ""), (6, "A"), (7, "x" * 30
 
 @pytest.mark.parametrize("keys", [exact_dedup.BROADCAST_KEYS, 0])
 def test_exact_against_brute_force(spark, monkeypatch, keys):
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 2)
     monkeypatch.setattr(exact_dedup, "BROADCAST_KEYS", keys)
     got = exact_dedup.duplicates(docs(spark, ROWS), capacity=2).collect()
     assert len(got) == len(ROWS)
@@ -78,3 +79,44 @@ def test_shards_of_nothing(spark):
     assert [r["shard"] for r in shards.shard(docs(spark, [(None, None)])).collect()][0] in range(16)
     with pytest.raises(ValueError):
         shards.shard(docs(spark, []), 12)
+
+
+def test_keep_one_with_any_column_names(spark):
+    from corpusloom.llm import simhash
+
+    rows = [(1, "one two three four", 1, "x"), (2, "one two three four", 2, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone_id long, gone_sha string")
+    assert [r.doc_id for r in exact_dedup.keep_one(df).collect()] == [2]
+    assert [r.doc_id for r in simhash.keep_one(df).collect()] == [1]
+
+
+def test_index_lies_by_bucket_and_owner_ranges_need_no_second_exchange(spark):
+    rows = [(i, f"text {i % 60}") for i in range(200)]
+    keyed = docs(spark, rows).selectExpr("doc_id", "xxhash64(text) as h")
+    index = exact_dedup.build_index(keyed, capacity=10).collect()
+    assert len(index) == 60 and sum(r.entries for r in index) == 200
+    by = {}
+    for r in index:
+        by.setdefault(r.bucket, []).append(r)
+    assert len(by) > 4 and all(len(b) <= 10 for b in by.values())
+
+
+def test_staged_folder_is_never_local_on_a_cluster():
+    from types import SimpleNamespace
+
+    from corpusloom.llm import _common
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: d, set=lambda k, v: None), sparkContext=SimpleNamespace(master="spark://h:7077"))
+    with pytest.raises(ValueError):
+        _common.shared_folder(session)
+    session.sparkContext.master = "local-cluster[2,1,1024]"
+    with pytest.raises(ValueError):
+        _common.shared_folder(session)
+
+
+def test_components_with_a_hot_node(spark):
+    from corpusloom.llm import _common
+
+    edges = [(i, 5) for i in range(6, 60)] + [(60 + i, 61 + i) for i in range(30)] + [(7, 7), (None, 3)]
+    got = {r.node: r.root for r in _common.components(spark.createDataFrame(edges, "a long, b long"), hot_node=10).collect()}
+    assert got == {i: 5 for i in range(6, 60)} | {i: 60 for i in range(61, 91)}
