@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 
 _ODD = re.compile("[^0-9A-Za-z_]")
 GAP = "[\\t\\n\\f\\r ]"
-SPACE = "[\\x09-\\x0D\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+SPACE = "[\\t\\n\\x0B\\f\\r \\x{85}\\p{Z}]"
 NOT_SPACE = "[^" + SPACE[1:]
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(c: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def truncate(c: Column, most: int) -> Column:
@@ -31,7 +32,7 @@ def truncate(c: Column, most: int) -> Column:
 def clean(c: Column, normalize: bool = True, most: int = 100_000) -> Column:
     """Collapsed, trimmed and truncated text; null gives the empty string."""
     c = F.coalesce(c, F.lit(""))
-    return truncate(strip(F.regexp_replace(c, f"{GAP}+", " ")) if normalize else c, most)
+    return truncate(strip(F.regexp_replace(c, f"{GAP}{{2,}}|[\\t\\n\\f\\r]", " ")) if normalize else c, most)
 
 
 def tokens(c: Column) -> Column:

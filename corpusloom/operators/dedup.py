@@ -19,16 +19,43 @@ NEAR_BITS = 3
 _BASIS, _PRIME = np.uint64(14695981039346656037), np.uint64(1099511628211)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the folder in ``spark.checkpoint.dir`` and read back, which cuts its lineage."""
-    spark = df.sparkSession
+def scratch_folder(spark) -> str:
+    """The folder in ``spark.checkpoint.dir``, which the driver and all executors share.
+
+    Only a session in one process (``local[...]``) may do without the setting; on a cluster a missing
+    setting raises ValueError, as rows in machine-local folders would be lost.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("corpusloom.scratch.dir", None)
     if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("corpusloom.scratch.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, which cuts its lineage."""
+    spark = df.sparkSession
+    path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Deletes the files of written frames that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "written_path", None)
+        if path:
+            at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def hidden(name: str) -> str:
+    """A column name that no caller has."""
+    return f"{name}_{uuid.uuid4().hex}"
 
 
 def once(df: DataFrame, **values: Column) -> DataFrame:
@@ -91,38 +118,52 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def first_wins(df: DataFrame, key: Column, order: list, flag: str = "is_first") -> DataFrame:
-    """Flags the first row of each key by a total order.
+    """Flags the first row of each key by an order, which is to be total: rows that tie on it are all first.
 
     The first row comes from an aggregate that is combined before the shuffle, and a join back, so a
     key with many rows isn't sorted in one task.  Null keys are never duplicates.
     """
-    keyed = df.withColumn("_fw_key", key).withColumn("_fw_order", F.struct(*order))
-    first = keyed.where("_fw_key is not null").groupBy("_fw_key").agg(F.min("_fw_order").alias("_fw_first"))
-    out = keyed.join(first, "_fw_key", "left").withColumn(flag, F.col("_fw_key").isNull() | (F.col("_fw_order") == F.col("_fw_first")))
-    return out.drop("_fw_key", "_fw_order", "_fw_first")
+    k, o, m = hidden("key"), hidden("order"), hidden("first")
+    keyed = df.withColumns({k: key, o: F.struct(*order)})
+    first = keyed.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(o).alias(m))
+    return keyed.join(first, k, "left").withColumn(flag, F.col(k).isNull() | (F.col(o) == F.col(m))).drop(k, o, m)
+
+
+#: Bits of the five blocks of a fingerprint: within three bits, at least two blocks are equal.
+_BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+_BLOCK_PAIRS = tuple((i, j) for i in range(5) for j in range(i + 1, 5))
+
+
+def _block(fp: Column, i: int) -> Column:
+    at, size = _BLOCKS[i]
+    return F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << size) - 1))
 
 
 def bands(fp: Column) -> Column:
-    """Four quarters of a fingerprint with their numbers; within three bits one of them is equal."""
-    return F.array(*[(F.shiftrightunsigned(fp, 16 * k).bitwiseAND(F.lit(0xFFFF)) * 4 + k) for k in range(4)])
+    """Ten keys of a fingerprint, one for each pair of its blocks; within three bits one of them is equal."""
+    return F.array(*[F.shiftleft(_block(fp, i), 17).bitwiseOR(F.shiftleft(_block(fp, j), 4)).bitwiseOR(F.lit(k)) for k, (i, j) in enumerate(_BLOCK_PAIRS)])
 
 
 def near_pairs(df: DataFrame, id_col: str = "id", fp_col: str = "fp", order_col: str = "seq", bits: int = NEAR_BITS) -> DataFrame:
-    """``(earlier, later)`` ids within ``bits`` bits.  Each pair comes from its first equal quarter, so no
-    distinct is needed."""
+    """``(earlier, later)`` ids within ``bits`` bits, from rows of distinct fingerprints.
+
+    Each pair comes from its first two equal blocks, so no distinct is needed.  A key has 25 or 26
+    bits, so among n spread fingerprints one meets n / 2^25 others by it.
+    """
     if bits > 3:
-        raise ValueError("four quarters find at most three differing bits")
+        raise ValueError("pairs of five blocks find at most three differing bits")
     rows = df.select(F.col(id_col).alias("id"), F.col(fp_col).alias("fp"), F.col(order_col).alias("o"), F.explode(bands(F.col(fp_col))).alias("band"))
     a, b = rows.alias("a"), rows.alias("b")
     x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    k = F.col("a.band").bitwiseAND(F.lit(3))
-    earlier_quarters = F.when(k == 0, F.lit(True))
-    for q in range(1, 4):
+    k = F.col("a.band").bitwiseAND(F.lit(15))
+    first = F.lit(False)
+    for n, (i, j) in enumerate(_BLOCK_PAIRS):
         differ = F.lit(True)
-        for p in range(q):
-            differ = differ & (F.shiftrightunsigned(x, 16 * p).bitwiseAND(F.lit(0xFFFF)) != 0)
-        earlier_quarters = earlier_quarters.when(k == q, differ)
-    joined = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.o") < F.col("b.o")) & (F.bit_count(x) <= bits) & earlier_quarters)
+        for p in range(j):
+            if p != i:
+                differ = differ & (_block(x, p) != 0)
+        first = first | ((k == n) & differ)
+    joined = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.o") < F.col("b.o")) & (F.bit_count(x) <= bits) & first)
     return joined.select(F.col("a.id").alias("earlier"), F.col("b.id").alias("later"))
 
 
@@ -143,8 +184,10 @@ def greedy_keep(df: DataFrame, id_col: str = "id", fp_col: str = "fp", order_col
         named = open_.join(settled.select(F.col("id").alias("earlier"), "kept"), "earlier", "left")
         state = named.groupBy("later").agg(F.max(F.coalesce("kept", F.lit(False)).cast("int")).alias("near"), F.count(F.when(F.col("kept").isNull(), 1)).alias("left"))
         done = state.where("near = 1 or left = 0").select(F.col("later").alias("id"), (F.col("near") == 0).alias("kept"))
+        before, last = settled, open_
         settled = written(settled.unionByName(done), "settled")
         open_ = written(open_.join(settled.select(F.col("id").alias("later")), "later", "left_anti"), "open")
+        discard(before, last if last is not edges else None)
     out = rows.join(lead.select("fp", F.col("id").alias("lead")), "fp").join(settled.select(F.col("id").alias("lead"), "kept"), "lead")
     return out.select("id", ((F.col("id") != F.col("lead")) | ~F.col("kept")).alias("near_duplicate"))
 
@@ -190,7 +233,7 @@ def admit(urls: DataFrame, rules, url_col: str = "url", order_col: str = "seq",
 
     rows = once(urls, normalized=U.normalize(F.col(url_col)))
     rows = once(rows, _bad=F.col("normalized").isNull() | rules.reject_reason(F.col("normalized")).isNotNull())
-    rows = first_wins(rows, F.when(~F.col("_bad"), F.col("normalized")), [order_col], "_first")
+    rows = first_wins(rows, F.when(~F.col("_bad"), F.col("normalized")), [order_col], "_first")  # the order is total
     if seen is not None:
         rows = rows.join(seen.select("normalized").distinct().withColumn("_seen", F.lit(True)), "normalized", "left")
     else:

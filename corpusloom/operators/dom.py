@@ -51,15 +51,15 @@ class Node:
         return self.attrs.get("class", "").split()
 
     def find(self, selector: str) -> list[Node]:
-        tests = compiled(selector)
-        return [n for n in self.walk() if any(t(n) for t in tests)]
+        test = compiled(selector)
+        return [n for n in self.walk() if test(n)]
 
     def first(self, selector: str) -> Node | None:
-        tests = compiled(selector)
-        return next((n for n in self.walk() if any(t(n) for t in tests)), None)
+        test = compiled(selector)
+        return next((n for n in self.walk() if test(n)), None)
 
     def matches(self, selector: str) -> bool:
-        return any(t(self) for t in compiled(selector))
+        return compiled(selector)(self)
 
     def next_element(self) -> Node | None:
         if self.parent is None:
@@ -72,10 +72,38 @@ class Node:
 _SIMPLE = re.compile(r"([a-zA-Z][\w-]*|\*)|\.([\w-]+)|#([\w-]+)|\[([\w:-]+)(?:([*^$]?=)['\"]?([^'\"\]]*)['\"]?)?\]")
 
 
+_TAG, _CLASS = re.compile(r"[a-zA-Z][\w-]*"), re.compile(r"\.([\w-]+)")
+
+
 @functools.lru_cache(maxsize=256)
 def compiled(selector: str):
-    """Tests of a comma list of compound selectors: tag, class, id, attribute (=, *=, ^=, $=)."""
-    return [_compound(s.strip()) for s in re.split(r",(?![^\[]*\])", selector)]
+    """A test of a comma list of compound selectors: tag, class, id, attribute (=, *=, ^=, $=).
+
+    Plain tags and classes are looked up in sets; others are only tried on elements with attributes.
+    """
+    tags, classes, rest, bare = set(), set(), [], []
+    for s in map(str.strip, re.split(r",(?![^\[]*\])", selector)):
+        if _TAG.fullmatch(s):
+            tags.add(s.lower())
+        elif m := _CLASS.fullmatch(s):
+            classes.add(m[1])
+        elif s == "*":
+            bare.append(_compound(s))
+        else:
+            rest.append(_compound(s))
+
+    def test(n: Node) -> bool:
+        if n.tag in tags:
+            return True
+        if n.attrs:
+            if classes and "class" in n.attrs and not classes.isdisjoint(n.classes()):
+                return True
+            for t in rest:
+                if t(n):
+                    return True
+        return bool(bare)
+
+    return test
 
 
 def _compound(text: str):

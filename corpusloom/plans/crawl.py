@@ -36,15 +36,16 @@ def table_fetcher(pages: DataFrame, redirects: DataFrame | None = None) -> Fetch
     for name, kind in (("error", "string"), ("fail_attempts", "int")):
         if name not in served.columns:
             served = served.withColumn(name, F.lit(None).cast(kind))
+    ends: list[DataFrame] = []
 
     def fetch(requests: DataFrame) -> DataFrame:
         asked = requests.select("url", "attempt", F.col("url").alias("final_url"), F.array().cast("array<string>").alias("redirect_chain"))
         if redirects is not None:
-            hops = redirects.select(U.normalize(F.col("src")).alias("_src"), F.col("dst").alias("_dst"))
-            for _ in range(MAX_HOPS + 1):
-                moved = asked.withColumn("_src", U.normalize(F.col("final_url"))).join(hops, "_src", "left")
-                gone = F.col("_dst").isNotNull()
-                asked = moved.select("url", "attempt", F.when(gone, F.col("_dst")).otherwise(F.col("final_url")).alias("final_url"), F.when(gone, F.concat("redirect_chain", F.array("final_url"))).otherwise(F.col("redirect_chain")).alias("redirect_chain"))
+            if not ends:
+                ends.append(redirect_ends(redirects))
+            moved = asked.withColumn("_src", U.normalize(F.col("url"))).join(ends[0], "_src", "left")
+            gone = F.col("_end").isNotNull()
+            asked = moved.select("url", "attempt", F.when(gone, F.col("_end")).otherwise(F.col("url")).alias("final_url"), F.when(gone, F.concat(F.array("url"), "_path")).otherwise(F.col("redirect_chain")).alias("redirect_chain"))
         rows = asked.withColumn("_norm", U.normalize(F.col("final_url"))).join(served, "_norm", "left")
         lost = F.size("redirect_chain") > MAX_HOPS
         fails = F.col("error").isNotNull() & (F.col("attempt") < F.coalesce("fail_attempts", F.lit(1 << 30)))
@@ -55,6 +56,23 @@ def table_fetcher(pages: DataFrame, redirects: DataFrame | None = None) -> Fetch
     return fetch
 
 
+def redirect_ends(redirects: DataFrame) -> DataFrame:
+    """``(_src, _end, _path)``: where ``redirects(src, dst)`` lead and the URLs between, MAX_HOPS + 1 hops at most.
+
+    All chains advance by a hop at a time, until none moves.
+    """
+    hops = dedup.written(redirects.select(U.normalize(F.col("src")).alias("_at"), F.col("dst").alias("_next")), "hops")
+    cur = hops.select(F.col("_at").alias("_src"), F.col("_next").alias("_end"), F.array().cast("array<string>").alias("_path"))
+    for _ in range(MAX_HOPS):
+        step = cur.withColumn("_at", U.normalize(F.col("_end"))).join(hops, "_at", "left")
+        on = F.col("_next").isNotNull()
+        step = dedup.written(step.select("_src", F.when(on, F.col("_next")).otherwise(F.col("_end")).alias("_end"), F.when(on, F.concat("_path", F.array("_end"))).otherwise(F.col("_path")).alias("_path"), on.alias("_on")), "hops")
+        cur = step.drop("_on")
+        if step.where("_on").isEmpty():
+            break
+    return cur
+
+
 @dataclass
 class Outcome:
     """Results of a crawl: one row a received result, pending items, and counters."""
@@ -82,6 +100,13 @@ def _admit(found: DataFrame, seen: DataFrame, rules, max_depth: int) -> DataFram
     return rows.join(seen, "url", "left_anti")
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 class Robots:
     """Robots rules from a table, or had for new hosts as they turn up by ``source(hosts) -> raw``."""
 
@@ -147,8 +172,9 @@ def crawl(
         admitted.append(new.select("url"))
         # what is known is a list of written parts, put together now and then
         known = known.union(new.select("url"))
-        if len(admitted) % 16 == 0:
+        if len(admitted) >= 16:
             known = dedup.written(known, "seen")
+            admitted = [dedup.written(_union(admitted), "admitted")]
         room = cfg.frontier.queue_capacity
         if room > 0:  # what does not fit is dropped, but counts as seen
             space, total = max(0, room - (0 if frontier is empty else frontier.count())), new.count()
@@ -195,6 +221,9 @@ def crawl(
         )
         rows = dedup.written(rows, "results")
         results.append(rows)
+        if len(results) >= 16:  # a long crawl stays a union of few parts
+            parts, results = results, [dedup.written(_union(results), "results")]
+            dedup.discard(*parts[:-1])
         back = rows.where("retried").select("url", "depth", (F.col("attempt") + 1).alias("attempt"), F.lit(True).alias("retry"), F.lit(FOUND).alias("priority"), "seq")
         n_back = back.count()
         stats["retried"] += n_back
@@ -203,19 +232,15 @@ def crawl(
         kids = rows.select("priority", F.col("depth").alias("d"), "seq", F.posexplode("links").alias("pos", "url")).orderBy(F.desc("priority"), "d", "seq", "pos")
         kids = kids.select("url", (F.col("d") + 1).alias("depth"), F.lit(FOUND).alias("priority"), F.monotonically_increasing_id().alias("seq"))
         new = _admit(kids, known, rules, c.max_depth)
-    own = admitted[0]
-    for x in admitted[1:]:
-        own = own.union(x)
+    own = _union(admitted)
     if not results:
         return Outcome(spark.createDataFrame([], "url string, success boolean, retried boolean, outcome string"), frontier, stats | dict.fromkeys(("received", "succeeded", "failed", "duplicate", "near_duplicate", "wrong_language"), 0), own)
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
+    out = _union(results)
     d = cfg.content.deduplication
     final = out.where("not retried")
     key = F.struct("round", -F.col("priority"), "depth", "seq")
     final = final.withColumn("_text", F.col("content.clean_text")).withColumn("_lang", F.col("content.metadata.language")).withColumn("_order", key)
-    final = corpus.classify(final, "url", "_text", "_lang", "_order", d.enabled and d.content_fingerprinting, d.enabled and d.semantic_similarity, tuple(cfg.content.languages))
+    final = corpus.classify(final, "url", "_text", "_lang", "_order", d.enabled and d.content_fingerprinting, d.enabled and d.semantic_similarity, tuple(cfg.content.languages), unique_ids=True)
     final = final.unionByName(out.where("retried"), allowMissingColumns=True).drop("_text", "_lang", "_order")
     final = dedup.written(final, "outcome")
     row = metrics.crawl_stats(final, stats["dispatched"], stats["dropped"]).head().asDict()
