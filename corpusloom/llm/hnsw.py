@@ -178,7 +178,7 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 def build(nodes: DataFrame) -> DataFrame:
     """Graphs of ``nodes(dim, shard, ids, v)``, one row a node: its number, level and flat links by layer."""
-    kind = "dim int, shard int, node int, ids array<long>, v array<float>, level int, links array<int>"
+    kind = "dim int, shard int, node int, ids array<long>, v array<double>, level int, links array<int>"
 
     def run(pdf):
         pdf = pdf.assign(first=[min(i) for i in pdf["ids"]]).sort_values("first", ignore_index=True)
@@ -213,7 +213,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
     smallest ids are kept, which are all that can be among the nearest.  An empty table gives none.
     """
     spark = vectors.sparkSession
-    v = F.transform(F.col(vec_col), lambda x: x.cast("float"))
+    v = F.transform(F.col(vec_col), lambda x: x.cast("double"))  # the search works on unit vectors, scores on these
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null")
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     rows = rows.where(F.forall("v", fine) & F.exists("v", lambda x: x != 0))

@@ -12,6 +12,7 @@ import html as _html
 import re
 import zlib
 from bisect import bisect_left
+from collections import Counter
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 
 from ._common import staged
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: A quote without its partner, as in a broken tag, is a character like others, so such a tag ends at the next ">".
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]++|\"[^\"]*+\"(?=[\s/>]|\Z)|'[^']*+'(?=[\s/>]|\Z)|[\"'])*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe noscript".split())
@@ -48,13 +50,19 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
-def _marked(attrs: dict[str, str]) -> bool:
+def _marked(attrs: dict[str, str], inline: bool = False) -> bool:
+    """Whether attributes hide an element or name it as no part of the article.
+
+    Words in parts of names count for blocks only: prose may well hold ``<span class="search-term">``.
+    """
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in ROLES:
         return True
     if re.search(r"display\s*:\s*none", attrs.get("style", "")):
         return True
-    names = _CAMEL.sub("-", f"{attrs.get('class', '')} {attrs.get('id', '')}").lower()
-    return not MARKS.isdisjoint(_PART.findall(names))
+    names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
+    if inline:
+        return not MARKS.isdisjoint(names.lower().split())
+    return not MARKS.isdisjoint(_PART.findall(_CAMEL.sub("-", names).lower()))
 
 
 def blocks(page: str | None) -> list[tuple[str, int, bool]]:
@@ -128,7 +136,7 @@ def blocks(page: str | None) -> list[tuple[str, int, bool]]:
                 elif stack[k][0] in until:
                     break
         main = 2 if tag == "article" or attrs.get("itemprop") == "articleBody" or attrs.get("role") == "article" else 1 if tag == "main" or attrs.get("role") == "main" else 0
-        drop = tag in SKIP or (tag not in ("html", "body") and not main and bool(attrs) and _marked(attrs))
+        drop = tag in SKIP or (tag not in ("html", "body") and not main and bool(attrs) and _marked(attrs, tag in INLINE))
         if main == 2 and attrs and _marked({k: attrs[k] for k in ("class", "id") if k in attrs}):
             main, drop = 0, True  # a teaser or a comment in an article element of its own
         if tag not in INLINE or drop:
@@ -152,8 +160,81 @@ def mark(line: str) -> int:
     return zlib.crc32(line.encode("utf-8", "surrogatepass")) << 16 | len(line) & 65535
 
 
+#: Matching pairs of lines, for each line, up to which they are gone through one by one.
+MATCHES = 32
+
+
 def common(a: list, b: list) -> set[int]:
-    """Positions in ``a`` of a longest common subsequence with ``b`` (Hunt-Szymanski)."""
+    """Positions in ``a`` of a longest common subsequence with ``b``.
+
+    Equal ends are taken off first.  Where few lines match, matches are gone through one by one
+    (Hunt-Szymanski); where lines repeat, rows of the table are bits of whole numbers and ``a`` is
+    halved (Hirschberg), so time and memory follow no square of the repeats.
+    """
+    lo, hi, other = 0, len(a), len(b)
+    while lo < min(hi, other) and a[lo] == b[lo]:
+        lo += 1
+    while hi > lo and other > lo and a[hi - 1] == b[other - 1]:
+        hi, other = hi - 1, other - 1
+    ends = {*range(lo), *range(hi, len(a))}
+    a, b = a[lo:hi], b[lo:other]
+    if not a or not b:
+        return ends
+    count = Counter(b)
+    sparse = sum(count[x] for x in a) <= MATCHES * (len(a) + len(b))
+    return ends | {lo + i for i in (_sparse(a, b) if sparse else _halved(a, b))}
+
+
+def _row(a: list, b: list) -> int:
+    """Bit ``j`` is 0 where the subsequence with ``b[: j + 1]`` is longer than with ``b[:j]``."""
+    where: dict = {}
+    for j, x in enumerate(b):
+        where.setdefault(x, []).append(j)
+    full, masks = (1 << len(b)) - 1, {}
+    v = full
+    for x in a:
+        m = masks.get(x)
+        if m is None and x in where:
+            bits = bytearray(len(b) // 8 + 1)
+            for j in where[x]:
+                bits[j >> 3] |= 1 << (j & 7)
+            m = int.from_bytes(bits, "little")
+            if len(where[x]) > 8:  # others are cheap to make again, and may be many
+                masks[x] = m
+        if m:
+            u = v & m
+            v = ((v + u) | (v - u)) & full
+    return v
+
+
+def _lengths(v: int, n: int) -> list[int]:
+    """Lengths with each beginning of ``b`` from the bits of ``_row``."""
+    bits, out = v.to_bytes(n // 8 + 1, "little"), [0]
+    for j in range(n):
+        out.append(out[-1] + (not bits[j >> 3] >> (j & 7) & 1))
+    return out
+
+
+def _halved(a: list, b: list) -> set[int]:
+    out: set[int] = set()
+    todo = [(0, a, b)]
+    while todo:
+        at, x, y = todo.pop()
+        if not x or not y:
+            continue
+        if len(x) == 1:
+            if x[0] in y:
+                out.add(at)
+            continue
+        mid, n = len(x) // 2, len(y)
+        front = _lengths(_row(x[:mid], y), n)
+        back = _lengths(_row(x[:mid - 1 : -1], y[::-1]), n)
+        j = max(range(n + 1), key=lambda k: front[k] + back[n - k])
+        todo += [(at, x[:mid], y[:j]), (at + mid, x[mid:], y[j:])]
+    return out
+
+
+def _sparse(a: list, b: list) -> set[int]:
     where: dict = {}
     for j in range(len(b) - 1, -1, -1):
         where.setdefault(b[j], []).append(j)

@@ -69,6 +69,28 @@ def test_common_is_a_longest_common_subsequence():
         assert all(a[i] in it for i in at)
 
 
+def test_common_with_repeated_lines():
+    import time
+
+    rng = random.Random(3)
+    for _ in range(60):
+        a, b = ([rng.randrange(3) for _ in range(rng.randrange(1, 60))] for _ in range(2))
+        at = sorted(html_text._halved(a, b))
+        assert len(at) == lcs(a, b)
+        it = iter(b)
+        assert all(a[i] in it for i in at)
+    began = time.time()
+    assert len(html_text.common([1] * 20_000 + [2], [3] + [1] * 20_000)) == 20_000
+    assert len(html_text.common([1, 2] * 4000, [2, 1, 1] * 3000)) > 5000
+    assert time.time() - began < 20
+
+
+def test_doubles_keep_their_precision(spark):
+    rows = [(0, [1.0, 1e-9]), (1, [1.0, 2e-9]), (2, [1e300, 1e300]), (3, [1.0, 1.0])]
+    got = hnsw.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [(r.query_id, r.vec_id) for r in got][:1] == [(0, 1)] and len(got) == 3
+
+
 DECLARED = """<html><head><title>T</title><style>x</style></head><body><nav>menu</nav><div class="cookie-notice">We use cookies</div><article class="post"><header>By me</header><h1>Head &amp; more</h1>
 <p>One <b>bold</b>&nbsp;word<p>Two</p><div class="share">Share</div><script>no()</script><form><input>Sign up</form><section id="comments"><p>I disagree</p></section></article><aside>Side</aside><footer>&copy;</footer></body></html>"""
 
@@ -110,3 +132,11 @@ def test_every_page_with_a_differing_page_in_its_host_is_paired(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_broken_tags_and_marks_in_prose():
+    text = lambda page: " ".join(html_text.page_lines(page)[1])
+    assert text('<article><p title="x>one</p><p>two</p></article>') == "one two"
+    assert text("<article><p title='it's>one</p><a href=\"b\">two</a></article>") == "one two"
+    assert text('<article><p title="a>b">one</p></article>') == "one"
+    assert text('<article><p>A <span class="search-term">word</span> here <i hidden>not</i><span class="ad">Buy</span></p><div class="search-box">go</div></article>') == "A word here"
