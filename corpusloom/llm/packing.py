@@ -3,8 +3,8 @@
 Pieces that fill a sequence take one each.  The others are dealt evenly into independent groups of a
 bounded size; in a group, best fit (longest first) is followed by a local search over the bins that
 are not full: exchanges of one piece for one, two pieces for one, and moves, each taken if it raises
-the sum of squared fills, so that some bins fill up and others empty.  The bins that stay far from
-full are packed again over all groups.
+the sum of squared fills, so that some bins fill up and others empty, until no step helps.  The bins
+that are not full then are packed again over all groups.
 """
 
 from __future__ import annotations
@@ -22,8 +22,6 @@ from .bpe import added_tokens, encoder, packed_with_added, small_lists
 
 #: Pieces to a group.
 GROUP = 20_000
-#: Rounds of the local search at most; each is a pass over the bins with room.
-ROUNDS = 6
 
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:
@@ -51,72 +49,75 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], size: int, rounds: int = ROUNDS) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: list[int], size: int) -> list[list[int]]:
     """Exchanges between underfull bins that raise the sum of squared fills; empty bins go.
 
-    Emptiest bins give first: a piece, or two pieces, or one piece against a shorter one, go to the
-    fullest bin whose room the gain fits best.  Each step raises the sum of squares, so it ends.
+    Emptiest bins give first: a piece moves to the bin with the least room that takes it, or one or two
+    pieces go for a shorter one of the bin that this leaves with the least room.  All bins with room
+    give and all are looked up, by the total that would fill them; passes go on until no step helps.
+    Each step raises the sum of squares, so it ends.
     """
     fill = [sum(lengths[i] for i in b) for b in bins]
-
-    for _ in range(rounds):
-        changed = False
-        open_ = sorted((b for b in range(len(bins)) if 0 < fill[b] < size), key=lambda b: (fill[b], b))
-        room = sorted((size - fill[b], b) for b in open_)
-
-        def update(b: int, new: int) -> None:
-            at = bisect_left(room, (size - fill[b], b))
-            if at < len(room) and room[at] == (size - fill[b], b):
-                room.pop(at)
-            fill[b] = new
-            if 0 < new < size:
-                insort(room, (size - new, b))
-
-        for a in open_[: max(64, len(open_) // 4)]:
-            if not 0 < fill[a] < size:
-                continue
-            for i in sorted(bins[a], key=lambda i: -lengths[i]):
-                # move: the bin with the least room that takes the piece, if it is the fuller one
-                at = bisect_left(room, (lengths[i], -1))
-                while at < len(room) and room[at][1] == a:
-                    at += 1
-                if at < len(room) and fill[room[at][1]] + lengths[i] > fill[a]:
-                    b = room[at][1]
-                    bins[a].remove(i)
-                    bins[b].append(i)
-                    update(a, fill[a] - lengths[i])
-                    update(b, fill[b] + lengths[i])
-                    changed = True
-            mine = sorted(bins[a], key=lambda i: -lengths[i])
-            give = [((i,), lengths[i]) for i in mine] + [((i, j), lengths[i] + lengths[j]) for k, i in enumerate(mine) for j in mine[k + 1 :]]
-            done = False
-            for space, b in list(room[:64]):
-                # exchange: what a gives is longer than the piece of b that it gets, by no more than b's room
-                if b == a or fill[b] < fill[a]:
-                    continue
-                best = None
-                for j in bins[b]:
-                    for what, total in give:
-                        gain = total - lengths[j]
-                        if 0 < gain <= space and (best is None or gain > best[0]):
-                            best = (gain, what, j)
-                    if best and best[0] == space:
-                        break
-                if best:
-                    gain, what, j = best
-                    for i in what:
-                        bins[a].remove(i)
-                        bins[b].append(i)
-                    bins[b].remove(j)
-                    bins[a].append(j)
-                    update(a, fill[a] - gain)
-                    update(b, fill[b] + gain)
-                    changed = done = True
+    open_ = [b for b in range(len(bins)) if 0 < fill[b] < size]
+    room = sorted((size - fill[b], b) for b in open_)
+    # a total of key fills the bin if it gives up piece i
+    swaps = sorted((lengths[i] + size - fill[b], lengths[i], b, i) for b in open_ for i in bins[b])
+
+    def forget(b: int) -> None:
+        room.pop(bisect_left(room, (size - fill[b], b)))
+        for i in bins[b]:
+            swaps.pop(bisect_left(swaps, (lengths[i] + size - fill[b], lengths[i], b, i)))
+
+    def note(b: int) -> None:
+        fill[b] = sum(lengths[i] for i in bins[b])
+        if 0 < fill[b] < size:
+            insort(room, (size - fill[b], b))
+            for i in bins[b]:
+                insort(swaps, (lengths[i] + size - fill[b], lengths[i], b, i))
+
+    def step(a: int, b: int, given: tuple, got: tuple) -> None:
+        forget(a)
+        forget(b)
+        bins[a] = [i for i in bins[a] if i not in given] + list(got)
+        bins[b] = [i for i in bins[b] if i not in got] + list(given)
+        note(a)
+        note(b)
+
+    def move(a: int) -> bool:
+        for i in sorted(bins[a], key=lambda i: (-lengths[i], i)):
+            at = bisect_left(room, (lengths[i], -1))
+            if at < len(room) and room[at][1] == a:
+                at += 1
+            if at < len(room) and fill[room[at][1]] + lengths[i] > fill[a]:
+                step(a, room[at][1], (i,), ())
+                return True
+        return False
+
+    def exchange(a: int) -> bool:
+        own = bins[a]
+        give = {lengths[i] + lengths[j]: (i, j) for k, i in enumerate(own) for j in own[k + 1 :]}
+        give.update({lengths[i]: (i,) for i in own})
+        best, most = None, size - fill[a]  # the partner ends up fuller than a was, so with less room
+        for total, given in give.items():
+            for at in range(bisect_left(swaps, (total,)), len(swaps)):
+                key, length, b, i = swaps[at]
+                if key - total >= most:
                     break
-            if done:
-                continue
-        if not changed:
-            break
+                if b != a and total - length > max(0, fill[a] - fill[b]):
+                    best, most = (b, given, i), key - total
+                    break
+            if most == 0:
+                break
+        if best:
+            step(a, best[0], best[1], (best[2],))
+        return best is not None
+
+    changed = True
+    while changed:
+        changed = False
+        for a in sorted((b for b in range(len(bins)) if 0 < fill[b] < size), key=lambda b: (fill[b], b)):
+            while 0 < fill[a] < size and (move(a) or exchange(a)):
+                changed = True
     return [b for b in bins if b]
 
 
@@ -157,8 +158,8 @@ def place(rows: DataFrame, size: int = 2048, group: int = GROUP) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to rows with a ``length`` of at most ``size``.
 
     Rows are dealt into groups by a hash of all their columns and a row number, so that copies
-    spread; full rows are sequences of their own.  A second pass takes the bins that lack over an
-    eighth of their size from all groups together, as items of their own, until one group holds them.
+    spread; full rows are sequences of their own.  A second pass takes the bins with room from all
+    groups together, as items of their own.
     """
     rows = staged(rows.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     columns = [c for c in rows.columns if c != "_row"]
@@ -167,7 +168,7 @@ def place(rows: DataFrame, size: int = 2048, group: int = GROUP) -> DataFrame:
     n = part.count()
     first = _packed(part.select("_row", "length"), size, max(1, -(-n // group)), "_row", "length")
     first = staged(first, "packed")
-    open_ = first.groupBy("bin").agg(F.sum("length").alias("fill")).where(F.col("fill") < size - size // 8)
+    open_ = first.groupBy("bin").agg(F.sum("length").alias("fill")).where(F.col("fill") < size)
     open_ = staged(open_, "open")
     names = first.join(_renamed(open_, size, group), "bin", "left")
     placed = names.select("_row", F.coalesce("to", "bin").alias("sequence_id"), (F.coalesce("shift", F.lit(0)) + F.col("offset")).cast("long").alias("offset"))
@@ -175,7 +176,7 @@ def place(rows: DataFrame, size: int = 2048, group: int = GROUP) -> DataFrame:
 
 
 def _renamed(open_: DataFrame, size: int, group: int) -> DataFrame:
-    """``(bin, to, shift)``: bins that are not nearly full, packed over all groups as items."""
+    """``(bin, to, shift)``: bins with room, packed over all groups as items."""
     n = open_.count()
     again = _packed(open_, size, max(1, -(-n // group)), "bin", "fill")
     return again.select(F.col("bin_").alias("bin"), F.col("bin").alias("to"), F.col("offset").alias("shift"))

@@ -73,8 +73,29 @@ def test_local_search_only_helps():
         assert sorted(i for b in end for i in b) == list(range(len(lengths)))
         square = lambda bins: sum(sum(lengths[i] for i in b) ** 2 for b in bins)
         assert all(sum(lengths[i] for i in b) <= 100 for b in end) and len(end) <= len(start) and square(end) >= square(start)
-    # best fit leaves three bins here; exchanging empties one
-    assert len(packing.local_search([[0, 1], [2, 3], [4]], [50, 30, 40, 40, 40], 100)) <= 3
+        assert not any(helps(end, lengths, 100))
+
+
+def helps(bins, lengths, size):
+    """Tries every move, exchange and two-for-one exchange between bins with room: whether it raises the squares."""
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    for a, own in enumerate(bins):
+        for b, other in enumerate(bins):
+            if a != b and fill[a] < size and fill[b] < size:
+                give = [(lengths[i],) for i in own] + [(lengths[i], lengths[j]) for k, i in enumerate(own) for j in own[k + 1 :]]
+                for g in give:
+                    for back in [lengths[j] for j in other] + [0] * (len(g) == 1):
+                        gain = sum(g) - back
+                        yield 0 < gain <= size - fill[b] and (fill[a] - gain) ** 2 + (fill[b] + gain) ** 2 > fill[a] ** 2 + fill[b] ** 2
+
+
+def test_local_search_empties_bins():
+    # the two pieces of the emptiest bin fill the others for a shorter one, which then moves
+    assert len(packing.local_search([[0, 1], [2, 3], [4]], [60, 30, 50, 40, 20], 100)) == 2
+    rng = random.Random(5)
+    lengths = [rng.randrange(300, 900) for _ in range(4000)]
+    start = packing.best_fit(lengths, 2048)
+    assert len(packing.local_search([list(b) for b in start], lengths, 2048)) < len(start)
 
 
 def test_packing_end_to_end(spark):
