@@ -65,7 +65,7 @@ def build_index(keyed: DataFrame, capacity: int = BUCKET_ENTRIES) -> DataFrame:
     return staged(placed.repartitionByRange("bucket", "h").sortWithinPartitions("bucket", "h"), "index")
 
 
-def _joined(rows: DataFrame, keys: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
+def joined(rows: DataFrame, keys: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
     """``rows`` with the unique ``keys``; keys of over HOT_ROWS rows, or all if they are few, are broadcast.
 
     ``how``: inner or left.  Either way gives the same rows.
@@ -94,7 +94,7 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     index = build_index(keyed, capacity)
     chained = index.where("entries > 1")
     texts = src.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    texts = _joined(texts, chained.select("bucket", "h", "entries"), ["h"], "entries")
+    texts = joined(texts, chained.select("bucket", "h", "entries"), ["h"], "entries")
     distinct = texts.groupBy("bucket", "h", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
     # owner tasks: a range of the index with the texts of its hashes
     nothing = F.lit(None)
@@ -105,7 +105,7 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = owned.select("h", "entries", F.explode("chain").alias("c"))
     groups = links.select("h", F.sha2(F.encode("c.text", "UTF-8"), 256).alias("text_sha256"), "c.keep_id", F.col("c.n").alias("group_size"))
     groups = staged(groups, "groups")
-    out = _joined(keyed, groups, ["h", "text_sha256"], "group_size", "left")
+    out = joined(keyed, groups, ["h", "text_sha256"], "group_size", "left")
     alone = F.col("group_size").isNull()
     keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select(

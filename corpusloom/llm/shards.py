@@ -1,7 +1,8 @@
 """Shards of near equal bytes by a k-d tree over document metadata.
 
 Points are groups of equal texts, weighted by their bytes, with the metadata of their first document
-as coordinates.  A node is split across its widest dimension at the weighted median, found by a
+as coordinates: size on a log scale, place in the range of ids, and the share of all bytes that the
+language and the source hold, each from 0 to 1.  A node is split across its widest dimension at the weighted median, found by a
 distributed histogram that is refined until the median's cell is small, until each leaf holds its
 share of the bytes.  Groups that are large against a shard are placed first, longest first, and the
 tree fills up what they leave; a group over a shard's share is dealt out in parts.
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ._common import staged
+from .exact_dedup import joined
 
 #: Groups over this share of a shard are placed before the tree.
 HEAVY = 1 / 16
@@ -154,11 +156,15 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
 
     span = max(1, (high or 0) - (low or 0))
     light = groups.where(F.col("weight") <= HEAVY * share) if total else groups
-    unit = lambda c: F.pmod(F.xxhash64(c), F.lit(_COORD))  # noqa: E731  like values lie together; their order says nothing
+    for c in ("lang", "source"):  # a category lies at its share of the bytes: from rare ones to common ones
+        own = light.groupBy(F.col(f"first.{c}").alias(c)).agg(F.sum("weight").alias("w"), F.count("*").alias("n"))
+        at = (F.col("w") / F.lit(max(1, total)) * (_COORD - 1)).cast("long")
+        own = staged(own.select(c, at.alias(f"by_{c}"), "n"), "categories")
+        light = joined(light.withColumn(c, F.col(f"first.{c}")), own, [c], "n").drop("n", c)
     dims = {
         "by_size": F.least(F.lit(_COORD - 1), (F.log2(F.col("size")) * (_COORD / 40)).cast("long")),
         "by_id": F.least(F.lit(_COORD - 1), ((F.col("first.d") - F.lit(low or 0)) / F.lit(span) * (_COORD - 1)).cast("long")),
-        "by_lang": unit(F.col("first.lang")), "by_source": unit(F.col("first.source")),
+        "by_lang": F.col("by_lang"), "by_source": F.col("by_source"),
     }
     points = light.select(*_KEYS, "weight", F.col("h").bitwiseAND(F.lit(0xFFFFFFFF)).alias("tie"), *[v.cast("long").alias(k) for k, v in dims.items()])
     points = staged(points, "points")
