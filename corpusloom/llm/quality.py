@@ -19,6 +19,8 @@ from .toxicity import sample
 
 #: Labelled rows to learn from at most, taken by a hash of their ids.
 SAMPLE = 6_000
+#: Lines of a row that the fit takes at most; labelled rows with more are no part of it (all rows are scored).
+FIT_LINES = 1_000
 STEPS, RATE, DECAY = 160, 0.08, 1e-3
 #: Lines that are held at once while scoring.
 LINES = 20_000
@@ -203,7 +205,7 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, threshold:
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most: int = SAMPLE, id_col: str = "doc_id", threshold: float = 0.3) -> Field:
-    """Fits on at most ``most`` labelled rows; line features, and no texts, go to the driver."""
+    """Fits on at most ``most`` labelled rows of at most FIT_LINES lines; line features, and no texts, go to the driver."""
 
     def run(batches):
         for b in batches:
@@ -214,7 +216,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most:
                 size = [np.array([len(y) for y in x], np.int32) for x in got]
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.float32())), pa.array(size, pa.list_(pa.int32())), part.column(1)], ["own", "size", "label"])
 
-    got = sample(docs, labels, label_col, most, id_col).mapInArrow(run, "own array<float>, size array<int>, label int").toArrow().to_pydict()
+    rows = sample(docs, labels, label_col, most, id_col)
+    rows = rows.where(F.length(F.translate(F.coalesce("text", F.lit("")), "\n", "")) > F.length(F.coalesce("text", F.lit(""))) - F.lit(FIT_LINES))
+    got = rows.mapInArrow(run, "own array<float>, size array<int>, label int").toArrow().to_pydict()
     rows = [(np.array(o, np.float32).reshape(-1, OWN), np.array(s, float), y) for o, s, y in zip(got["own"], got["size"], got["label"])]
     rows.sort(key=lambda r: (zlib.crc32(r[0].tobytes()), r[2]))  # not as the tasks ended
     return fit([(with_neighbours(o), s) for o, s, _ in rows], np.array([y for *_, y in rows], int), threshold)

@@ -115,12 +115,15 @@ def fit(rows: list[np.ndarray], label: np.ndarray, seed: int = 7) -> Machine:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label_col: str, most: int, id_col: str = "doc_id", mod: int = 5) -> DataFrame:
-    """``(text, label)`` of at most ``most`` labelled rows that are not held out, by a hash of the id."""
+    """``(text, label)`` of at most ``most`` labelled rows that are not held out, by a hash of the id.
+
+    Of several documents with one id the smallest text counts, so that no id brings more than a row.
+    """
     ids = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     mine = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (F.crc32(F.encode(ids, "UTF-8")) % mod != 0))
     mine = mine.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("label"))
     mine = mine.orderBy(F.xxhash64("_id"), "_id").limit(most)
-    return docs.select(F.col(id_col).alias("_id"), "text").join(F.broadcast(mine), "_id").select("text", "label")
+    return docs.select(F.col(id_col).alias("_id"), "text").join(F.broadcast(mine), "_id").groupBy("_id", "label").agg(F.min("text").alias("text")).select("text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: int = SAMPLE, id_col: str = "doc_id") -> Machine:
