@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Edges at one node over which a round of components sends that node's minimum to all tasks.
 HOT_NODE = 200_000
+#: Hot nodes and keys that are sent to all tasks at most, the hottest first; any other has at most 1 / HOT_KEYS of the rows.
+HOT_KEYS = 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -73,8 +75,8 @@ def components(edges: DataFrame, hot_node: int = HOT_NODE) -> DataFrame:
     Returns ``(node, root)`` with the smallest node of each component as its root, for every node
     with an edge to another one but the roots themselves.  Null ends and self loops are ignored; an empty table gives an
     empty result.  Each round is written to the shared folder, so a lost executor costs one round
-    at most; what earlier rounds wrote is deleted.  Nodes with over ``hot_node`` edges, of which there
-    is one for so many edges at most, are joined by a broadcast of their minima.
+    at most; what earlier rounds wrote is deleted.  Of nodes with over ``hot_node`` edges the HOT_KEYS
+    hottest are joined by a broadcast of their minima.
     """
     both = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
     cur = staged(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
@@ -86,7 +88,7 @@ def components(edges: DataFrame, hot_node: int = HOT_NODE) -> DataFrame:
         seen, last, hot = tuple(mark), cur, None
         sym = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         if mark[0] > hot_node:
-            hot = staged(sym.groupBy("a").count().where(F.col("count") > hot_node).select("a"), "hot-nodes")
+            hot = staged(sym.groupBy("a").count().where(F.col("count") > hot_node).orderBy(F.desc("count"), "a").limit(HOT_KEYS).select("a"), "hot-nodes")
             hot = None if hot.isEmpty() else hot
         low = sym.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = _with_low(sym.where("b > a"), low, hot).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()

@@ -15,14 +15,14 @@ from itertools import accumulate
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import free_name, staged
+from ._common import HOT_KEYS, free_name, staged
 
 #: Entries a bucket holds before it is split, and the bits at which doubling stops (overfull buckets then lie over several ranges).
 BUCKET_ENTRIES = 250_000
 MAX_DEPTH = 20
 #: Rows of a table that are sent to all tasks at most.
 BROADCAST_KEYS = 1_000_000
-#: Keys with more rows are always sent to all tasks, so that no join gathers them; there is one for so many rows at most.
+#: Of keys with more rows the HOT_KEYS hottest are always sent to all tasks, so that no join gathers them.
 HOT_ROWS = 100_000
 
 
@@ -66,15 +66,15 @@ def build_index(keyed: DataFrame, capacity: int = BUCKET_ENTRIES) -> DataFrame:
 
 
 def joined(rows: DataFrame, keys: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
-    """``rows`` with the unique ``keys``; keys of over HOT_ROWS rows, or all if they are few, are broadcast.
+    """``rows`` with the unique ``keys``; the hottest keys, or all if they are few, are broadcast.
 
     ``how``: inner or left.  Either way gives the same rows.
     """
     if keys.count() <= BROADCAST_KEYS:
         return rows.join(F.broadcast(keys), on, how)
-    hot = F.broadcast(keys.where(F.col(weight) > HOT_ROWS))
-    cold = rows.join(hot, on, "left_anti").join(keys.where(F.col(weight) <= HOT_ROWS), on, how)
-    return cold.unionByName(rows.join(hot, on))
+    hot = staged(keys.where(F.col(weight) > HOT_ROWS).orderBy(F.desc(weight), *on).limit(HOT_KEYS), "hot-keys")
+    cold = rows.join(F.broadcast(hot), on, "left_anti").join(keys.join(F.broadcast(hot), on, "left_anti"), on, how)
+    return cold.unionByName(rows.join(F.broadcast(hot), on))
 
 
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_ENTRIES) -> DataFrame:

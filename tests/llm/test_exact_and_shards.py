@@ -15,9 +15,10 @@ def docs(spark, rows):
 ROWS = [(1, "a"), (2, "b"), (3, "a"), (4, None), (5, ""), (6, "A"), (7, "x" * 300_000), (8, "x" * 300_000), (9, "a "), (9, "a "), (None, "a")]
 
 
-@pytest.mark.parametrize("keys", [exact_dedup.BROADCAST_KEYS, 0])
-def test_exact_against_brute_force(spark, monkeypatch, keys):
-    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 2)
+@pytest.mark.parametrize(("keys", "hot"), [(exact_dedup.BROADCAST_KEYS, 1000), (0, 1000), (0, 1)])
+def test_exact_against_brute_force(spark, monkeypatch, keys, hot):
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 1)
+    monkeypatch.setattr(exact_dedup, "HOT_KEYS", hot)
     monkeypatch.setattr(exact_dedup, "BROADCAST_KEYS", keys)
     got = exact_dedup.duplicates(docs(spark, ROWS), capacity=2).collect()
     assert len(got) == len(ROWS)
@@ -114,9 +115,12 @@ def test_staged_folder_is_never_local_on_a_cluster():
         _common.shared_folder(session)
 
 
-def test_components_with_a_hot_node(spark):
+@pytest.mark.parametrize("most", [1000, 1])
+def test_components_with_hot_nodes(spark, monkeypatch, most):
     from corpusloom.llm import _common
 
-    edges = [(i, 5) for i in range(6, 60)] + [(60 + i, 61 + i) for i in range(30)] + [(7, 7), (None, 3)]
+    monkeypatch.setattr(_common, "HOT_KEYS", most)
+
+    edges = [(i, 5) for i in range(6, 60)] + [(300 + i, 299) for i in range(1, 20)] + [(60 + i, 61 + i) for i in range(30)] + [(7, 7), (None, 3)]
     got = {r.node: r.root for r in _common.components(spark.createDataFrame(edges, "a long, b long"), hot_node=10).collect()}
-    assert got == {i: 5 for i in range(6, 60)} | {i: 60 for i in range(61, 91)}
+    assert got == {i: 5 for i in range(6, 60)} | {i: 60 for i in range(61, 91)} | {i: 299 for i in range(301, 320)}
