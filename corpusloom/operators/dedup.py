@@ -117,16 +117,36 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def first_wins(df: DataFrame, key: Column, order: list, flag: str = "is_first") -> DataFrame:
+#: Keys with over HOT_ROWS rows are hot; the HOT_KEYS hottest are broadcast, so any other has at most 1 / HOT_KEYS of the rows.
+HOT_ROWS, HOT_KEYS = 100_000, 1000
+
+
+def looked_up(rows: DataFrame, keys: DataFrame, on: str, weight: str, spread: Column, value: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``rows`` with a struct ``value`` of the other columns of ``keys``, which has one row a key; null where there is none.
+
+    The hottest keys by ``weight`` are broadcast, HOT_KEYS at most, and only the others are shuffled to.
+    Rows of hot and of null keys are spread by ``spread``, which should differ from row to row.
+    """
+    salt, warm, cold = hidden("salt"), hidden("warm"), hidden("cold")
+    held = F.struct(*[c for c in keys.columns if c != on])
+    hot = keys.where(F.col(weight) > hot_rows).orderBy(F.desc(weight), on).limit(HOT_KEYS).select(on, held.alias(warm))
+    out = rows.join(F.broadcast(hot), on, "left")
+    out = out.withColumn(salt, F.when(F.col(warm).isNotNull() | F.col(on).isNull(), F.xxhash64(spread)).otherwise(F.lit(0).cast("long")))
+    rest = keys.select(on, F.lit(0).cast("long").alias(salt), held.alias(cold))
+    return out.join(rest, [on, salt], "left").withColumn(value, F.coalesce(warm, cold)).drop(salt, warm, cold)
+
+
+def first_wins(df: DataFrame, key: Column, order: list, flag: str = "is_first", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Flags the first row of each key by an order, which is to be total: rows that tie on it are all first.
 
-    The first row comes from an aggregate that is combined before the shuffle, and a join back, so a
-    key with many rows isn't sorted in one task.  Null keys are never duplicates.
+    The first row comes from an aggregate that is combined before the shuffle, and a lookup of keys
+    with several rows, so a key with many rows isn't gathered in one task.  Null keys are never duplicates.
     """
-    k, o, m = hidden("key"), hidden("order"), hidden("first")
+    k, o, n, m, v = (hidden(x) for x in ("key", "order", "rows", "first", "found"))
     keyed = df.withColumns({k: key, o: F.struct(*order)})
-    first = keyed.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(o).alias(m))
-    return keyed.join(first, k, "left").withColumn(flag, F.col(k).isNull() | (F.col(o) == F.col(m))).drop(k, o, m)
+    first = keyed.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(o).alias(m), F.count("*").alias(n)).where(F.col(n) > 1)
+    found = looked_up(keyed, first, k, n, F.col(o), v, hot_rows)
+    return found.withColumn(flag, F.col(v).isNull() | (F.col(o) == F.col(v)[m])).drop(k, o, v)
 
 
 #: Bits of the five blocks of a fingerprint: within three bits, at least two blocks are equal.
@@ -167,7 +187,7 @@ def near_pairs(df: DataFrame, id_col: str = "id", fp_col: str = "fp", order_col:
     return joined.select(F.col("a.id").alias("earlier"), F.col("b.id").alias("later"))
 
 
-def greedy_keep(df: DataFrame, id_col: str = "id", fp_col: str = "fp", order_col: str = "seq", bits: int = NEAR_BITS) -> DataFrame:
+def greedy_keep(df: DataFrame, id_col: str = "id", fp_col: str = "fp", order_col: str = "seq", bits: int = NEAR_BITS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``(id, near_duplicate)``: dropped are rows within ``bits`` bits of an earlier kept row.
 
     Rounds settle rows whose earlier neighbours are settled: dropped if one is kept, kept if all are
@@ -175,7 +195,7 @@ def greedy_keep(df: DataFrame, id_col: str = "id", fp_col: str = "fp", order_col
     rows only.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(fp_col).alias("fp"), F.col(order_col).alias("o"))
-    lead = rows.groupBy("fp").agg(F.min(F.struct("o", "id")).alias("m")).select("fp", F.col("m.o").alias("o"), F.col("m.id").alias("id"))
+    lead = rows.groupBy("fp").agg(F.min(F.struct("o", "id")).alias("m"), F.count("*").alias("n")).select("fp", F.col("m.o").alias("o"), F.col("m.id").alias("id"), "n")
     lead = written(lead, "leaders")
     edges = written(near_pairs(lead, "id", "fp", "o", bits), "near")
     open_ = edges
@@ -188,8 +208,9 @@ def greedy_keep(df: DataFrame, id_col: str = "id", fp_col: str = "fp", order_col
         settled = written(settled.unionByName(done), "settled")
         open_ = written(open_.join(settled.select(F.col("id").alias("later")), "later", "left_anti"), "open")
         discard(before, last if last is not edges else None)
-    out = rows.join(lead.select("fp", F.col("id").alias("lead")), "fp").join(settled.select(F.col("id").alias("lead"), "kept"), "lead")
-    return out.select("id", ((F.col("id") != F.col("lead")) | ~F.col("kept")).alias("near_duplicate"))
+    led = written(lead.select("fp", F.col("id").alias("lead"), "n").join(settled.select(F.col("id").alias("lead"), "kept"), "lead"), "led")
+    out = looked_up(rows, led, "fp", "n", F.struct("o", "id"), "led", hot_rows)
+    return out.select("id", ((F.col("id") != F.col("led.lead")) | ~F.col("led.kept")).alias("near_duplicate"))
 
 
 def seen_filter(df: DataFrame, seen: DataFrame, key: str) -> DataFrame:

@@ -94,10 +94,26 @@ def test_greedy_near_duplicates_equal_the_sequential_scan(spark):
     df = spark.createDataFrame([(i, f, i) for i, f in fps], "id long, fp long, seq long")
     got = {r.id: r.near_duplicate for r in dedup.greedy_keep(df).collect()}
     assert got == plain_greedy(fps)
+    assert {r.id: r.near_duplicate for r in dedup.greedy_keep(df, hot_rows=20).collect()} == got
     pairs = {(r.earlier, r.later) for r in dedup.near_pairs(df).collect()}
     assert pairs == {(a, b) for a, x in fps for b, y in fps if a < b and (x ^ y).bit_count() <= 3}
 
 
+@pytest.mark.parametrize("most", [1000, 1])
+def test_first_rows_of_hot_null_and_single_keys(spark, monkeypatch, most):
+    monkeypatch.setattr(dedup, "HOT_KEYS", most)
+    rows = [(i, "hot" if i % 3 else None if i % 2 else f"k{i % 4}") for i in range(90)] + [(90, "alone")] + [(91 + i, "warm") for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, k string")
+    seen, want = set(), {}
+    for i, k in rows:
+        want[i] = k is None or k not in seen
+        seen.add(k)
+    for hot in (10, dedup.HOT_ROWS):
+        got = dedup.first_wins(df, F.col("k"), ["id"], hot_rows=hot)
+        assert got.columns == ["id", "k", "is_first"]
+        assert {r.id: r.is_first for r in got.collect()} == want
+
+
 def test_output_order_of_stages(spark):
     rows = [("u1", "same text", "fr", 1), ("u2", "same text", "en", 2), ("u3", "other words", "en-US", 3), ("u4", "", "en", 4), ("u5", "", "en", 5), ("u6", "more of it", None, 6)]
     df = spark.createDataFrame(rows, "url string, t string, lang string, seq long")
