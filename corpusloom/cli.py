@@ -9,6 +9,7 @@ import sys
 from . import __version__
 from .api import crawl, load
 from .plans import corpus
+from .plans.crawl import STATE_EVERY_S
 from .sources import http, tables
 
 
@@ -22,7 +23,8 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--output", default="output", help="folder for JSON lines")
     p.add_argument("--timeout", type=float, help="seconds for a request")
     p.add_argument("--sitemap", action="store_true", help="start from sitemaps too")
-    p.add_argument("--state", help="folder of seen URLs and pending items; output is appended then")
+    p.add_argument("--state", help="folder of seen URLs and pending items, from which a stopped or killed run goes on; output is appended then")
+    p.add_argument("--state-every", type=float, default=STATE_EVERY_S, help="seconds between states")
     p.add_argument("--metrics", help="file for the counters, as JSON")
     p.add_argument("--js", action="store_true", help="ask for rendered pages; no renderer is built in, so pages are fetched plainly")
     p.add_argument("-v", "--verbose", action="store_true")
@@ -31,7 +33,6 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
 
 
 def main(argv: list[str] | None = None) -> int:
-    from pyspark.errors import AnalysisException
     from pyspark.sql import SparkSession
 
     a = arguments(argv)
@@ -40,18 +41,18 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("corpusloom").getOrCreate()
     if cfg.features.javascript_rendering:
         print("no renderer is built in; pages are fetched plainly", file=sys.stderr)
-    seen = resume = None
-    if a.state:
-        try:
-            seen, resume = spark.read.parquet(f"{a.state}/seen"), tables.load_snapshot(spark, a.state)
-        except AnalysisException:  # the first run
-            seen = resume = None
-    out = crawl(spark, cfg, cfg.crawler.seed_urls, http.live_fetcher(cfg), robots=http.live_robots(cfg) if cfg.robots.enabled else None, sitemaps=http.live_documents(cfg) if a.sitemap else None, seen=seen, resume=resume)
+    state = tables.load_state(spark, a.state) if a.state else None
+    resume, seen, earlier = state or (None, None, None)
+    save = (lambda pending, seen, results: tables.save_state(a.state, pending, seen, results)) if a.state else None
+    stats = (lambda row: print(json.dumps(row), file=sys.stderr)) if a.verbose else None
+    out = crawl(
+        spark, cfg, cfg.crawler.seed_urls, http.live_fetcher(cfg), robots=http.live_robots(cfg) if cfg.robots.enabled else None, sitemaps=http.live_documents(cfg) if a.sitemap else None,
+        seen=seen, resume=resume, earlier=earlier, on_state=save, state_every_s=a.state_every, on_stats=stats,
+    )
     if "content" in out.results.columns:
         tables.write_jsonl(corpus.records(out.results.where("outcome = 'kept'")), a.output, append=bool(a.state))
     if a.state:
-        tables.save_snapshot(out.pending, a.state)
-        out.seen.write.mode("append").parquet(f"{a.state}/seen")
+        tables.save_state(a.state, out.pending, out.seen, done=True)
     if a.metrics:
         with open(a.metrics, "w", encoding="utf-8") as f:
             json.dump(out.stats, f)

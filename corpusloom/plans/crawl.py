@@ -6,6 +6,7 @@ What a round leaves behind is written to the shared folder; the driver sees coun
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -21,6 +22,7 @@ from . import corpus
 
 SEED, SITEMAP, FOUND = 100, 50, 0
 MAX_ATTEMPTS, MAX_HOPS = 2, 10
+STATE_EVERY_S = 30.0
 
 #: ``fetch(requests(url, attempt)) -> (url, status, content_type, body, final_url, redirect_chain, error, response_time_ms, rendered)``
 Fetcher = Callable[[DataFrame], DataFrame]
@@ -137,7 +139,8 @@ def sitemap_documents(source, roots: DataFrame) -> DataFrame:
 
 def crawl(
     spark: SparkSession, cfg: Config, seeds, fetch: Fetcher, robots: DataFrame | Callable | None = None, sitemaps: DataFrame | Callable | None = None, seen: DataFrame | None = None, resume: DataFrame | None = None,
-    headless: tuple[Fetcher, tuple[str, ...]] | None = None,
+    headless: tuple[Fetcher, tuple[str, ...]] | None = None, earlier: DataFrame | None = None, on_state: Callable[[DataFrame, DataFrame, DataFrame], None] | None = None, state_every_s: float = STATE_EVERY_S,
+    on_stats: Callable[[dict[str, int]], None] | None = None,
 ) -> Outcome:
     """Crawls from ``seeds`` until nothing is left or ``max_pages`` were dispatched.
 
@@ -145,6 +148,11 @@ def crawl(
     or a function of documents, turns sitemap discovery on; ``seen(url)`` holds URLs of earlier runs; ``resume`` pending items of one;
     ``headless`` another fetcher for the named hosts.  Filters act on the output only: links of
     duplicates and rejected pages are followed.
+
+    ``on_state(pending, seen, results)`` is called between rounds, once ``state_every_s`` seconds have
+    passed, with all pending items and what was seen and got since the last call; ``earlier`` holds such
+    results of a run that was killed, which go through the output filters with this run's.
+    ``on_stats`` gets the counters after each round.
     """
     rules, options, c = url_rules(cfg), extractor_options(cfg), cfg.crawler
     stats = {"dispatched": 0, "dropped": 0, "disallowed": 0, "retried": 0, "rounds": 0}
@@ -165,7 +173,10 @@ def crawl(
             roots = told.select("seed", "doc", "pos").unionByName(roots.join(told, "seed", "left_anti"))
         listed = tables.discover(sitemaps if isinstance(sitemaps, DataFrame) else sitemap_documents(sitemaps, roots), roots)
         found = found.unionByName(listed.select(F.col("loc").alias("url"), F.lit(0).alias("depth"), F.lit(SITEMAP).alias("priority"), (F.lit(1 << 40) + F.col("pos")).alias("seq")))
-    results: list[DataFrame] = []
+    results: list[DataFrame] = [earlier] if earlier is not None else []
+    past = (earlier.agg(F.max("round")).head()[0] or 0) if earlier is not None else 0
+    unsaved: tuple[list[DataFrame], list[DataFrame]] = ([], [])
+    saved_at = time.monotonic()
     new = _admit(found, known, rules, c.max_depth)
     while True:
         new = dedup.written(new.select("url", "depth", F.lit(0).alias("attempt"), F.lit(False).alias("retry"), "priority", "seq"), "new")
@@ -182,6 +193,11 @@ def crawl(
                 stats["dropped"] += total - space
                 new = dedup.written(new.orderBy(*ordered(new)).limit(space), "new")
         frontier = new if frontier is empty else dedup.written(frontier.unionByName(new), "frontier")
+        if on_state is not None:
+            unsaved[0].append(new.select("url"))
+            if unsaved[1] and time.monotonic() - saved_at >= state_every_s:
+                on_state(frontier, _union(unsaved[0]), _union(unsaved[1]))
+                unsaved, saved_at = ([], []), time.monotonic()
         left = c.max_pages - stats["dispatched"]
         if left <= 0 or frontier.isEmpty():
             break
@@ -217,13 +233,16 @@ def crawl(
         again = F.col("error").isNotNull() & F.col("retryable") & (F.col("attempt") < MAX_ATTEMPTS)
         rows = rows.select(
             "url", F.col("status").alias("status_code"), "content_type", links.alias("links"), content.alias("content"), "reject_reason", "error", "retryable", "final_url", "redirect_chain", "rendered", "response_time_ms",
-            "depth", "attempt", "priority", "seq", F.lit(stats["rounds"]).alias("round"), F.col("error").isNull().alias("success"), again.alias("retried"), F.current_timestamp().alias("completed_at"),
+            "depth", "attempt", "priority", "seq", F.lit(past + stats["rounds"]).alias("round"), F.col("error").isNull().alias("success"), again.alias("retried"), F.current_timestamp().alias("completed_at"),
         )
         rows = dedup.written(rows, "results")
         results.append(rows)
+        if on_state is not None:
+            unsaved[1].append(rows)
         if len(results) >= 16:  # a long crawl stays a union of few parts
             parts, results = results, [dedup.written(_union(results), "results")]
-            dedup.discard(*parts[:-1])
+            if on_state is None:  # else these may have to be saved yet
+                dedup.discard(*parts[:-1])
         back = rows.where("retried").select("url", "depth", (F.col("attempt") + 1).alias("attempt"), F.lit(True).alias("retry"), F.lit(FOUND).alias("priority"), "seq")
         n_back = back.count()
         stats["retried"] += n_back
@@ -232,6 +251,8 @@ def crawl(
         kids = rows.select("priority", F.col("depth").alias("d"), "seq", F.posexplode("links").alias("pos", "url")).orderBy(F.desc("priority"), "d", "seq", "pos")
         kids = kids.select("url", (F.col("d") + 1).alias("depth"), F.lit(FOUND).alias("priority"), F.monotonically_increasing_id().alias("seq"))
         new = _admit(kids, known, rules, c.max_depth)
+        if on_stats is not None:
+            on_stats(dict(stats))
     own = _union(admitted)
     if not results:
         return Outcome(spark.createDataFrame([], "url string, success boolean, retried boolean, outcome string"), frontier, stats | dict.fromkeys(("received", "succeeded", "failed", "duplicate", "near_duplicate", "wrong_language"), 0), own)

@@ -11,6 +11,9 @@ from pyspark.sql import Window as W
 
 FRONTIER = "url string, depth int, attempt int, retry boolean, priority int, seq long"
 SITEMAP_DOCS, SITEMAP_URLS, SITEMAP_BYTES = 20, 5_000, 16 << 20
+_STATE = "n long, pending string, seen array<string>, results array<string>"
+#: Parts of seen URLs that are put together when there are more.
+STATE_PARTS = 64
 _SITEMAP = "url array<struct<loc:string>>, sitemap array<struct<loc:string>>"
 
 
@@ -80,6 +83,56 @@ def load_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("url", "depth", "attempt", F.lit(False).alias("retry"), "priority", F.monotonically_increasing_id().alias("seq"))
 
 
+def save_state(folder: str, pending: DataFrame, seen: DataFrame, results: DataFrame | None = None, done: bool = False) -> None:
+    """Adds to the state of a crawl: what is pending now, and URLs seen and results got since the last call.
+
+    The parts are written first and then a row that names all that count, so a run that is killed at
+    any time goes on from the last such row.  With ``done`` results so far were put out and count no more.
+    """
+    spark = pending.sparkSession
+    last = _last_state(spark, folder)
+    n, mark = (last["n"] + 1 if last else 0), uuid.uuid4().hex
+    seen_parts, result_parts = (list(last["seen"]), list(last["results"])) if last else ([], [])
+    pending.select("url", "depth", "attempt", "priority").write.parquet(f"{folder}/pending-{mark}")
+    seen.select("url").write.parquet(f"{folder}/seen-{mark}")
+    seen_parts.append(f"seen-{mark}")
+    if len(seen_parts) > STATE_PARTS:
+        spark.read.parquet(*[f"{folder}/{x}" for x in seen_parts]).distinct().write.parquet(f"{folder}/seen-{mark}-all")
+        seen_parts = [f"seen-{mark}-all"]
+    if done:
+        result_parts = []
+    elif results is not None:
+        results.write.parquet(f"{folder}/results-{mark}")
+        result_parts.append(f"results-{mark}")
+    row = [(n, f"pending-{mark}", seen_parts, result_parts)]
+    spark.createDataFrame(row, _STATE).coalesce(1).write.mode("append").json(f"{folder}/states")
+
+
+def load_state(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame | None] | None:
+    """``(pending, seen, results)`` of the last state, or None in a new folder; pending items get fresh sequence numbers.
+
+    ``results`` are those of a killed run that were not put out yet, None if there are none.
+    """
+    last = _last_state(spark, folder)
+    if last is None:
+        return None
+    pending = spark.read.parquet(f"{folder}/{last['pending']}")
+    pending = pending.select("url", "depth", "attempt", F.lit(False).alias("retry"), "priority", F.monotonically_increasing_id().alias("seq"))
+    seen = spark.read.parquet(*[f"{folder}/{x}" for x in last["seen"]])
+    return pending, seen, spark.read.parquet(*[f"{folder}/{x}" for x in last["results"]]) if last["results"] else None
+
+
+def _last_state(spark: SparkSession, folder: str):
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema(_STATE).json(f"{folder}/states").orderBy(F.desc("n")).head()
+    except AnalysisException as e:  # a new folder
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def read_items(spark: SparkSession, path: str) -> DataFrame:
     """Pending items of a JSON array file."""
     return spark.read.schema("url string, depth int, attempt int, priority int").json(path, multiLine=True)

@@ -122,6 +122,31 @@ def test_seen_set_and_resume(spark, tmp_path):
         tables.seeds(spark, " , ")
 
 
+def test_killed_crawl_goes_on_from_its_state(spark, tmp_path):
+    g = graph(spark, {"/s": ["/a", "/b"], "/a": ["/c"], "/b": ["/s"], "/c": ["/d"], "/d": []})
+    folder, ticks, rounds = str(tmp_path / "state"), [], []
+    assert tables.load_state(spark, folder) is None
+
+    def save(pending, seen, results):
+        tables.save_state(folder, pending, seen, results)
+        ticks.append(1)
+        if len(ticks) == 2:
+            raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        crawl(spark, config(), ["http://h.com/s"], table_fetcher(g), on_state=save, state_every_s=0, on_stats=rounds.append)
+    assert [r["dispatched"] for r in rounds] == [1, 3]
+    pending, seen, results = tables.load_state(spark, folder)
+    assert [r.url for r in pending.collect()] == ["http://h.com/c"] and results.count() == 3
+    assert {r.url[12:] for r in seen.collect()} == {"/s", "/a", "/b", "/c"}
+    out = crawl(spark, config(), ["http://h.com/s"], table_fetcher(g), seen=seen, resume=pending, earlier=results)
+    assert out.stats["dispatched"] == 2 and out.stats["received"] == 5
+    assert {r.url[12:]: r["round"] for r in out.results.collect()} == {"/s": 1, "/a": 2, "/b": 2, "/c": 3, "/d": 4}
+    tables.save_state(folder, out.pending, out.seen, done=True)
+    pending, seen, results = tables.load_state(spark, folder)
+    assert pending.isEmpty() and results is None and seen.distinct().count() == 5
+
+
 def test_depths(spark):
     edges = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (0, 3)], "src long, dst long")
     roots = spark.createDataFrame([(0,)], "node long")
