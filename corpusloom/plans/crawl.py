@@ -91,6 +91,25 @@ def ordered(frontier: DataFrame) -> list:
     return [F.desc("priority"), "depth", "seq"]
 
 
+def placed(frontier: DataFrame, name: str = "place") -> DataFrame:
+    """``frontier`` with the place, from 1, at which each item is handed out; the order is to be total.
+
+    Rows are sorted over ranges and numbered within them; the sizes of the ranges give what is added.
+    """
+    at = dedup.hidden("at")
+    rows = dedup.written(frontier.orderBy(*ordered(frontier)).withColumn(at, F.monotonically_increasing_id()), "placed")
+    part = F.shiftrightunsigned(at, 33)
+    sizes = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()  # a row for each range
+    before, total = [], 0
+    for r in sizes:
+        before.append((r["part"], total))
+        total += r["n"]
+    offsets = frontier.sparkSession.createDataFrame(before, f"{at}_part long, {at}_before long")
+    out = rows.join(F.broadcast(offsets), part == F.col(f"{at}_part"))
+    inside = F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    return out.withColumn(name, F.col(f"{at}_before") + inside + 1).drop(at, f"{at}_part", f"{at}_before")
+
+
 def _admit(found: DataFrame, seen: DataFrame, rules, max_depth: int) -> DataFrame:
     """New items of ``found(url, depth, priority, seq)`` in normal form, first ones only."""
     if max_depth > 0:
