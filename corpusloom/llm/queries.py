@@ -55,7 +55,7 @@ def op4_toxicity_fm(spark, sf_dir):
 
 @query
 def op8_suffix_tree_lm(spark, sf_dir):
-    return suffix_lm.score(table(spark, sf_dir, "documents"))
+    return suffix_lm.score(table(spark, sf_dir, "documents"), whole=True)
 
 
 @query

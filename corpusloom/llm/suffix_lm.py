@@ -14,11 +14,18 @@ as many states as half buckets, each for a class of preceding words (document st
 document).  Single words are counted, and rare ones looked up, in buckets of their own, and so what is
 gathered grows with the corpus and lies evenly; tasks share the words of at least ``WORD_SHARE`` of all
 tokens only.
+
+With ``whole`` the classes only deal out work: the counts of each pair of a split word and a next word
+are summed in buckets of pairs, the counts of rare words looked up with the single words, and both are
+sent to the buckets that ask for them.  Every state then has the counts of all its occurrences, and
+every word its own count.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +53,15 @@ WORD_SHARE = 2.0**-22
 CACHE_WORDS = 300_000
 #: Characters of text handled at once.
 CHUNK = 1_000_000
+#: Pairs that a task sums up at once.
+ASKS = 2_000_000
 END = b"\n"
-_LOW40 = np.uint64((1 << 40) - 1)
 _U = np.uint64
+_LOW40 = _U((1 << 40) - 1)
+#: Ranks of frequent words lie below; others are marked by a bit above the 40 of their hash, and in packed columns lie apart.
+_RANKS, _OTHER, _ESCAPE = _U(1 << 22), _U(1 << 40), _U((1 << 24) - 1)
+#: In place of a split word's number: counts of rare words.
+_RARE_WORDS = _U((1 << 23) - 1)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -95,13 +108,33 @@ def _from_low(x: np.ndarray, size: int) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _rising(x: np.ndarray) -> np.ndarray:
-    """Steps of rising numbers, byte by byte, so that high bytes, nearly all zero, lie together."""
-    return _low(np.diff(x, prepend=_U(0)), 5).T
+def _planes(x: np.ndarray, size: int) -> np.ndarray:
+    """The low bytes of all numbers, byte by byte, so that high bytes, nearly all zero, lie together."""
+    return _low(x, size).T
+
+
+def _from_planes(x: np.ndarray, size: int) -> np.ndarray:
+    return _from_low(np.ascontiguousarray(x.reshape(size, -1).T).ravel(), size)
+
+
+def _rising(x: np.ndarray, size: int = 5) -> np.ndarray:
+    """Steps of numbers that mostly rise, modulo their size."""
+    return _planes(np.diff(x, prepend=_U(0)), size)
 
 
-def _from_rising(x: np.ndarray) -> np.ndarray:
-    return np.cumsum(_from_low(np.ascontiguousarray(x.reshape(5, -1).T).ravel(), 5), dtype=np.uint64)
+def _from_rising(x: np.ndarray, size: int = 5) -> np.ndarray:
+    return np.cumsum(_from_planes(x, size), dtype=np.uint64) & _U((1 << 8 * size) - 1)
+
+
+def _words(x: np.ndarray, pack) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks, with an escape for other words, and the hashes of those."""
+    return pack(np.minimum(x, _ESCAPE), 3), _low(x[x >= _OTHER], 5)
+
+
+def _from_words(parts: list[list[np.ndarray]], unpack) -> np.ndarray:
+    x = np.concatenate([unpack(p[0], 3) for p in parts])
+    x[x == _ESCAPE] = np.concatenate([_from_low(p[1], 5) for p in parts]) | _OTHER
+    return x
 
 
 def word_bucket(h: np.ndarray) -> np.ndarray:
@@ -115,6 +148,16 @@ def _sums(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[at], np.add.reduceat(n, at) if len(at) else n
 
 
+def _pair_sums(key: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums by key and bucket, sorted by both."""
+    o = np.argsort(key)
+    group = np.cumsum(np.diff(key[o], prepend=key[o[:1]]) != 0)
+    o = o[np.argsort((group << 32) | b[o])]
+    key, b, n = key[o], b[o], n[o]
+    at = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (b[1:] != b[:-1])]) if len(key) else np.zeros(0, np.int64)
+    return key[at], b[at], np.add.reduceat(n, at) if len(at) else n
+
+
 def _batch(schema: str, **columns) -> pa.RecordBatch:
     types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
     fields = [x.split() for x in schema.split(", ")]
@@ -181,46 +224,143 @@ def _merge_words(batches):
 
 
 class Words:
-    """What tasks share: frequent words by hash, their counts, and the distribution of single words."""
+    """What tasks share: frequent words by hash, their counts and ranks, and the distribution of single words."""
 
     def __init__(self, key: np.ndarray, n: np.ndarray, n_all: int, v_all: int):
         self.key, self.n, self.n_all, self.v_all = key, n, n_all, v_all
-        z = float(n_all + v_all + 1)
-        self.p = (n + 1.0) / z
+        self.z = float(n_all + v_all + 1)
+        order = np.argsort(-n, kind="stable")
+        self.rank = np.empty(len(n), np.uint32)
+        self.rank[order] = np.arange(len(n), dtype=np.uint32)
+        #: By rank.
+        self.p = (n[order] + 1.0) / self.z
         #: Of each other word, known or not: an even share of what is left.
-        self.rare = max(1.0 - float(self.p.sum()), 1.0 / z) / (v_all - len(key) + 1)
-        self.splits = -(-n // max(1, BUCKET // 2))  # states of a one-word context
+        self.rare = max(1.0 - float(self.p.sum()), 1.0 / self.z) / (v_all - len(key) + 1)
+        self.splits = -(-n // max(1, BUCKET // 2))  # states or classes of a one-word context
+        #: Words that are split, how often they precede a word in training rows, and their classes by hash.
+        self.split, self.split_n = key[self.splits > 1], n[self.splits > 1]
+        of = np.repeat(np.arange(len(self.split)), self.splits[self.splits > 1])
+        cls = np.concatenate([np.arange(k) for k in self.splits[self.splits > 1]]) if len(of) else of
+        c = mixed(self.split[of], cls.astype(np.uint64)) & _LOW40
+        self.class_key, self.class_of = np.sort(c), of[np.argsort(c)]
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of hashes, and whether they are there."""
-        if not len(self.key):
-            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        at = np.minimum(np.searchsorted(self.key, h), len(self.key) - 1)
-        return at, self.key[at] == h
+        return _find(self.key, h)
+
+    def ids(self, h: np.ndarray, place: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Ranks of frequent words; 40 bits of the hash of others, marked."""
+        other = (h & _LOW40) | _OTHER
+        return np.where(known, self.rank[place].astype(np.uint64), other) if len(self.key) else other
+
+    def split_of(self, c1: np.ndarray) -> np.ndarray:
+        """The split word whose class a context is, or -1."""
+        at, there = _find(self.class_key, c1)
+        return np.where(there, self.class_of[at], -1) if len(self.class_key) else at - 1
+
+
+def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+    return at, keys[at] == x
+
+
+class _Lexicon:
+    """Hashes and places of words, of which a worker remembers some."""
+
+    def __init__(self, common: Words):
+        self.common, self.ids = common, {}
+        self.h, self.at, self.there = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def look(self, split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes and places of all words, and whether they are frequent, first learning those that are new."""
+        ids = self.ids
+        flat = [w for ws in split for w in ws]
+        i = np.fromiter(map(ids.get, flat, repeat(-1)), np.int64, len(flat))
+        missed = np.flatnonzero(i < 0)
+        if len(missed):
+            words = [flat[j] for j in missed.tolist()]
+            new = list(dict.fromkeys(words))
+            if ids and len(ids) + len(new) > CACHE_WORDS:
+                ids.clear()
+                self.h, self.at, self.there = self.h[:0], self.at[:0], self.there[:0]
+                return self.look(split)
+            h = np.fromiter(map(word_hash, new), np.uint64, len(new))
+            a, t = self.common.find(h)
+            ids.update(zip(new, range(len(ids), len(ids) + len(new))))
+            self.h, self.at, self.there = np.concatenate([self.h, h]), np.concatenate([self.at, a]), np.concatenate([self.there, t])
+            i[missed] = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+        return self.h[i], self.at[i], self.there[i]
+
+
+def _contexts(common: Words, h: np.ndarray, place: np.ndarray, known: np.ndarray, size: np.ndarray, names: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token its place in its document, the word before it, and the class of that word."""
+    end = word_hash(END)
+    inside = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+    before = [_shift(h, inside, k, _U(end)) for k in (1, 2)]
+    splits = np.where(known, common.splits[place], 1) if len(common.n) else np.ones(len(h), np.int64)
+    a, t = common.find(np.array([end], np.uint64))
+    splits = _shift(splits, inside, 1, common.splits[a[0]] if t[0] else 1)  # at starts of documents the end's
+    name = np.repeat(np.array([d if d is not None else -1 for d in names], np.int64).view(np.uint64), size)
+    of = np.where(inside >= 1, before[1] if DEPTH > 1 else name, name)
+    cls = np.where(splits > 1, mixed(of, np.zeros(len(of), np.uint64)) % np.maximum(splits, 1).astype(np.uint64), _U(0))
+    return inside, before[0], mixed(before[0], cls) & _LOW40
+
 
+def _shift(x: np.ndarray, inside: np.ndarray, k: int, start) -> np.ndarray:
+    """What lies ``k`` tokens before in the same document."""
+    return np.where(inside >= k, np.concatenate([x[:k], x[:-k]]) if len(x) > k else x, start)
 
-def score_bucket(context: list[np.ndarray], w: np.ndarray, p0: np.ndarray, train: np.ndarray) -> np.ndarray:
+
+@dataclass
+class Split:
+    """Split words: their distinct next words, their occurrences before a word, and whether they are retained."""
+
+    kinds: np.ndarray
+    total: np.ndarray
+    keep: np.ndarray
+
+
+def score_bucket(context: list[np.ndarray], w: np.ndarray, p0: np.ndarray, train: np.ndarray, split: Split | None = None, of: np.ndarray | None = None, n_split: np.ndarray | None = None, start: np.ndarray | None = None, probe: bool = False):
     """log10 probability of each occurrence in a bucket that holds all occurrences of its contexts.
 
     ``context[k]`` tells contexts of ``k + 1`` words apart, ``w`` next words; ``p0`` are their
     probabilities without a context; ``train`` marks the occurrences that are learnt from.
+
+    With ``split``, one-word contexts ``of`` 0 or more are those words, of whose occurrences others lie elsewhere:
+    they were followed by ``w`` ``n_split`` times in all.  ``start`` marks occurrences with a context of one word only.
+    ``probe`` returns instead the split words here, the gain from their occurrences and whether a longer context needs them.
     """
     p, levels = p0, []
     weight = train.astype(float)
-    for ctx in context:
+    for k, ctx in enumerate(context):
         own, inv = np.unique(ctx, return_inverse=True)
-        pair, first, back = np.unique(mixed(ctx, w), return_index=True, return_inverse=True)
+        pair, back = np.unique(mixed(ctx, w), return_inverse=True)
         seen = np.bincount(back, weight, len(pair))
-        kinds = np.bincount(inv[first], seen > 0, len(own))
+        state = np.empty(len(pair), np.int64)
+        state[back] = inv
+        kinds = np.bincount(state, seen > 0, len(own))
         total = np.bincount(inv, weight, len(own))
         n, u, t = seen[back], kinds[inv], total[inv]
+        if split is not None and k == 0 and len(split.kinds):
+            n, u, t = np.where(of >= 0, n_split, n), np.where(of >= 0, split.kinds[of], u), np.where(of >= 0, split.total[of], t)
         q = np.where(t > 0, (n + u * p) / np.maximum(t + u, 1.0), p)
+        if k and start is not None:
+            q = np.where(start, p, q)
         gain = np.bincount(inv, weight * np.log(q / p), len(own))
-        levels.append([inv.astype(np.int32), *(x.astype(np.float32) for x in (n, u, t + u)), (gain >= DIVERGENCE) & (total > 0)])
+        keep = (gain >= DIVERGENCE) & (total > 0)
+        if split is not None and k == 0:
+            word, part = np.empty(len(own), np.int64), gain
+            word[inv] = of
+            keep[word >= 0] = split.keep[word[word >= 0]] & (not probe)
+        levels.append([inv.astype(np.int32), *(x.astype(np.float32) for x in (n, u, t + u)), keep])
         p = q
     for k in range(len(levels) - 1, 0, -1):  # the suffixes of what is kept are kept
         inv, keep = levels[k][0], levels[k][4]
         levels[k - 1][4][levels[k - 1][0][keep[inv]]] = True
+    if probe:
+        return word[word >= 0], part[word >= 0], levels[0][4][word >= 0]
     p = p0
     for inv, n, u, d, keep in levels:
         p = np.where(keep[inv], (n + u * p) / np.maximum(d, 1.0), p)
@@ -228,17 +368,20 @@ def score_bucket(context: list[np.ndarray], w: np.ndarray, p0: np.ndarray, train
 
 
 _ROWS = "bucket int, kind int, origin long, doc int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, data binary"
-_DOC, _CONTEXT, _RARE, _VOCABULARY, _SUMS = range(5)
+_DOC, _CONTEXT, _RARE, _VOCABULARY, _SUMS, _COUNTS, _PAIRS, _ASK_PAIRS, _ASK_WORDS = range(9)
+_ASKED = "bucket int, kind int, data binary"
 _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, held: int = 2) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, held: int = 2, whole: bool = False) -> DataFrame:
     """Per document ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     The model learns from rows whose ``crc32(doc_id as text) mod 7`` is not 2, all of them and whole.
     ``base_score`` is the add-one unigram score of the contract, exact over the whole vocabulary.
-    Words are told apart by a 64-bit hash, by 40 bits of it as next and last context words, and by 24 as the words
-    before one last context word.  Sums of scores travel as 32-bit numbers.  Null texts count as empty (the end token only), a null doc_id as the empty string;
+    With ``whole`` every one-word state has the counts of all its occurrences, every word without a context the share
+    ``(c + 1) / (N + V + 1)``, and the start of a document is one state; else a frequent last word has a state for each class
+    of preceding words, and rare words have an even share.
+    Words are told apart by a 64-bit hash; in contexts frequent ones by rank and others by 40 bits of it.  Sums of scores travel as 32-bit numbers.  Null texts count as empty (the end token only), a null doc_id as the empty string;
     repeated rows are learnt and scored as often as they come; further columns are ignored; an empty
     table gives no rows.
     """
@@ -263,31 +406,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
     shared = spark.sparkContext.broadcast(Words(key[o], got.column(1).to_numpy()[o], n_all, v_all))
     del got, key, o
     buckets = max(1, -(-n_all * mod // (max(1, mod - 1) * BUCKET)))
-    end = word_hash(END)
+    bounds = (np.arange(buckets + 1, dtype=np.float64) * (2.0**40 / buckets)).astype(np.uint64)
 
     def send(batches):
         common = shared.value
         part = TaskContext.get().partitionId() << 40
-        ids: dict[bytes, int] = {}
-        H, at, there = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+        lexicon = _Lexicon(common)
         group = 0
 
-        def numbers(split: list[list[bytes]]) -> np.ndarray:
-            """Numbers of all words, first learning those that are new."""
-            nonlocal H, at, there
-            flat = [w for ws in split for w in ws]
-            new = list(set(flat).difference(ids))
-            if ids and len(ids) + len(new) > CACHE_WORDS:
-                ids.clear()
-                H, at, there = H[:0], at[:0], there[:0]
-                new = list(set(flat))
-            if new:
-                h = np.fromiter(map(word_hash, new), np.uint64, len(new))
-                a, t = common.find(h)
-                ids.update(zip(new, range(len(ids), len(ids) + len(new))))
-                H, at, there = np.concatenate([H, h]), np.concatenate([at, a]), np.concatenate([there, t])
-            return np.fromiter(map(ids.__getitem__, flat), np.int64, len(flat))
-
         def packed(held_docs: list[tuple], h: np.ndarray, place: np.ndarray, known: np.ndarray):
             """Rows of the documents held: one each, and their occurrences by bucket."""
             nonlocal group
@@ -302,22 +428,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
             n_known = np.add.reduceat(known, first, dtype=np.int64)
             n = len(size)
             yield _batch(_ROWS, bucket=-1 - (np.arange(n) + 7919 * group + (part >> 40)) % 4096, kind=np.full(n, _DOC), origin=np.full(n, origin), doc=np.arange(n), doc_id=[d[0] for d in held_docs], held_out=[d[1] for d in held_docs], n_tokens=size, n_known=n_known, base=base)
-            inside = np.arange(len(h)) - np.repeat(first, size)
-            before = [np.where(inside >= k, np.concatenate([h[:k], h[:-k]]) if len(h) > k else h, _U(end)) for k in range(1, DEPTH + 1)]
-            splits = np.where(known, common.splits[place], 1) if len(common.n) else np.ones(len(h), np.int64)
-            splits = np.where(inside >= 1, np.concatenate([splits[:1], splits[:-1]]), -1)
-            if (splits == -1).any():  # starts of documents
-                a, t = common.find(np.array([end], np.uint64))
-                splits[splits == -1] = common.splits[a[0]] if t[0] else 1
-            name = np.repeat(np.array([d[0] if d[0] is not None else -1 for d in held_docs], np.int64).view(np.uint64), size)
-            of = np.where(inside >= 1, before[1] if DEPTH > 1 else name, name)
-            cls = np.where(splits > 1, mixed(of, np.zeros(len(of), np.uint64)) % np.maximum(splits, 1).astype(np.uint64), _U(0))
-            c1 = mixed(before[0], cls) & _LOW40
-            o = np.argsort((c1 << _U(24)) | (before[1] & _U(0xFFFFFF)) if DEPTH > 1 else c1)
+            inside, _, c1 = _contexts(common, h, place, known, size, [d[0] for d in held_docs])
+            own = common.ids(h, place, known)
+            end = np.array([word_hash(END)], np.uint64)
+            start = common.ids(end, *common.find(end))[0]
+            more = [_shift(own, inside, k, start) for k in range(2, DEPTH + 1)]
+            o = np.argsort((c1 << _U(24)) | np.minimum(more[0], _ESCAPE) if more else c1)
             c1, tag = c1[o], (doc[o] * 2 + train[o]).astype("<u2")
-            more = [b[o] for b in before[1:]]
-            w = h[o]
-            cut = np.searchsorted(c1, (np.arange(buckets + 1, dtype=np.float64) * (2.0**40 / buckets)).astype(np.uint64))
+            more, w = [m[o] for m in more], own[o]
+            cut = np.searchsorted(c1, bounds)
             cut[-1] = len(c1)
             some = [b for b in range(buckets) if cut[b] < cut[b + 1]]
             for s in range(0, len(some), 16):
@@ -325,7 +444,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
                 for b in some[s : s + 16]:
                     i, j = cut[b], cut[b + 1]
                     starts = np.flatnonzero(np.r_[True, c1[i + 1 : j] != c1[i : j - 1]])
-                    data.append(_pack(_rising(c1[i:j][starts]), np.diff(np.r_[starts, j - i]).astype("<u4"), tag[i:j], _low(w[i:j], 5), *[_low(m[i:j], 3) for m in more]))
+                    words = [_words(x[i:j], _rising if k == 1 else _planes) for k, x in enumerate((w, *more))]
+                    data.append(_pack(_rising(c1[i:j][starts]), np.diff(np.r_[starts, j - i]).astype("<u4"), tag[i:j], *[x for pair in words for x in pair]))
                 b = some[s : s + 16]
                 yield _batch(_ROWS, bucket=b, kind=np.full(len(b), _CONTEXT), origin=np.full(len(b), origin), data=data)
             rare, of_doc = h[~known], doc[~known].astype("<u2")
@@ -351,32 +471,64 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
             who, out = b.column(0).to_pylist(), b.column(2).to_pylist()
             for texts in small_lists(b.column(1).to_pylist(), CHUNK):
                 split = [[*words_of(t), END] for t in texts]
-                number = numbers(split)
-                if held_docs and (tokens + len(number) > PACK_TOKENS or len(held_docs) + len(texts) > PACK_DOCS):
+                looked = lexicon.look(split)
+                if held_docs and (tokens + len(looked[0]) > PACK_TOKENS or len(held_docs) + len(texts) > PACK_DOCS):
                     yield from flush()
                 for s in range(0, len(texts), PACK_DOCS):
                     size = [len(ws) for ws in split[s : s + PACK_DOCS]]
-                    own, number = number[: sum(size)], number[sum(size) :]
+                    own, looked = [x[: sum(size)] for x in looked], [x[sum(size) :] for x in looked]
                     if held_docs and len(held_docs) + len(size) > PACK_DOCS:
                         yield from flush()
                     held_docs += zip(who[i : i + len(size)], out[i : i + len(size)], size)
-                    parts.append((H[own], at[own], there[own]))
-                    tokens += len(own)
+                    parts.append(own)
+                    tokens += len(own[0])
                     i += len(size)
         if held_docs:
             yield from flush()
 
+    def occurrences(common, split, blobs, counts):
+        """The sizes and tags of blobs, and what ``score_bucket`` needs of them."""
+        got = [_unpack(data, "u1", "<u4", "<u2", *["u1"] * (2 * DEPTH)) for _, data in blobs]
+        ctx = np.concatenate([np.repeat(_from_rising(g[0]), g[1]) for g in got])
+        tag, w = np.concatenate([g[2] for g in got]), _from_words([g[3:5] for g in got], _from_planes)
+        context = [ctx]
+        for k in range(1, DEPTH):
+            context.append(mixed(context[-1], _from_words([g[3 + 2 * k : 5 + 2 * k] for g in got], _from_rising if k == 1 else _from_planes)))
+        size, train = [len(g[2]) for g in got], (tag & 1) == 1
+        del got
+        p0 = np.full(len(w), common.rare)
+        p0[w < _RANKS] = common.p[w[w < _RANKS]]
+        if split is None:
+            return size, tag, context, w, p0, train
+        key, n = (np.concatenate(c) for c in zip(*[(_from_rising(k, 8), n) for k, n in (_unpack(c, "u1", "<i8") for c in counts)])) if counts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        key, at = np.unique(key, return_index=True)
+        n = n[at]
+
+        def count(x):
+            at, there = _find(key, x)
+            return np.where(there, n[at], 0) if len(key) else at
+
+        p0[w >= _RANKS] = (count((_RARE_WORDS << _U(41)) | w[w >= _RANKS]) + 1.0) / common.z
+        of = common.split_of(ctx)
+        n_split = np.zeros(len(w))
+        n_split[of >= 0] = count((of[of >= 0].astype(np.uint64) << _U(41)) | w[of >= 0])
+        end = np.array([word_hash(END)], np.uint64)
+        at, there = _find(common.split, end)
+        start = of == at[0] if there[0] else ctx == (mixed(end, np.zeros(1, np.uint64)) & _LOW40)[0]
+        return size, tag, context, w, p0, train, split, of, n_split, start
+
     def work(batches):
         common = shared.value
         own = None
         contexts: list[tuple[int, bytes]] = []
+        counts: list[bytes] = []
         rare: list[tuple[int, bytes]] = []
         vocabulary: list[bytes] = []
 
         def close():
             sums: dict[int, list] = {}
             if contexts:
-                for origin, doc, value in in_contexts(contexts):
+                for origin, doc, value in in_contexts(contexts, counts):
                     sums.setdefault(origin, []).append((doc, value.astype("<f4"), np.zeros(len(doc)), np.zeros(len(doc), "<u4")))
             if rare:
                 for origin, doc, more, known in in_words(rare, vocabulary):
@@ -385,21 +537,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
             for s in range(0, len(names), 64):
                 part = names[s : s + 64]
                 yield _batch(_ROWS, kind=np.full(len(part), _SUMS), origin=part, data=[_pack(*[np.concatenate(c) for c in zip(*sums[x])]) for x in part])
-            contexts.clear(), rare.clear(), vocabulary.clear()
-
-        def in_contexts(blobs):
-            got = [_unpack(data, "u1", "<u4", "<u2", "u1", *["u1"] * (DEPTH - 1)) for _, data in blobs]
-            ctx = np.concatenate([np.repeat(_from_rising(g[0]), g[1]) for g in got])
-            tag, w = np.concatenate([g[2] for g in got]), np.concatenate([_from_low(g[3], 5) for g in got])
-            context = [ctx]
-            for k in range(DEPTH - 1):
-                context.append(mixed(context[-1], np.concatenate([_from_low(g[4 + k], 3) for g in got])))
-            size = [len(g[2]) for g in got]
-            del got
-            own_w, back = np.unique(w, return_inverse=True)
-            at, there = short.find(own_w)
-            p0 = np.where(there, common.p[short.order[at]] if len(common.p) else 0.0, common.rare)[back]
-            value = score_bucket(context, w, p0, (tag & 1) == 1)
+            contexts.clear(), counts.clear(), rare.clear(), vocabulary.clear()
+
+        def in_contexts(blobs, counts):
+            size, tag, *parts = occurrences(common, split and split.value, blobs, counts)
+            value = score_bucket(*parts)
             at = 0
             for (origin, _), n in zip(blobs, size):
                 doc = tag[at : at + n] >> 1
@@ -420,7 +562,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
                 own_doc = np.unique(doc)
                 yield origin, own_doc, np.bincount(doc, np.log10(seen + 1.0))[own_doc], np.bincount(doc, seen > 0)[own_doc].astype("<u4")
 
-        short = _ByFive(common)
         for b in batches:
             bucket, kind = b.column(0).to_pylist(), b.column(1).to_pylist()
             simple = pa.array([k == _DOC for k in kind])
@@ -435,6 +576,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
                 data = b.column(9)[i].as_py()
                 if k == _VOCABULARY:
                     vocabulary.append(data)
+                elif k == _COUNTS:
+                    counts.append(data)
                 else:
                     (contexts if k == _CONTEXT else rare).append((b.column(2)[i].as_py(), data))
         if own is not None:
@@ -475,23 +618,214 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
         if own is not None:
             yield from close()
 
+    def padded(rows):
+        return rows.select(*[F.col(n) if n in rows.columns else F.lit(None).cast(t).alias(n) for n, t in (x.split() for x in _ROWS.split(", "))])
+
     sent = src.mapInArrow(send, _ROWS)
-    kept = vocabulary.select("bucket", F.lit(_VOCABULARY).alias("kind"), *[F.lit(None).cast(t).alias(n) for n, t in (x.split() for x in _ROWS.split(", ")[2:-1])], "data")
-    dealt = sent.unionByName(kept).repartition(max(buckets, WORD_BUCKETS), "bucket").sortWithinPartitions("bucket", "kind")
+    kept = vocabulary.select("bucket", F.lit(_VOCABULARY).alias("kind"), "data")
+    rows, split = sent.unionByName(padded(kept)), None
+    if whole:
+        counts = _counts(src, kept, shared, bounds)
+        split = _split(spark, counts, shared, least)
+        rows = sent.unionByName(padded(kept.unionByName(counts.where(F.col("kind") == _COUNTS))))
+        doubtful = np.flatnonzero(~split.keep)
+        if len(doubtful):
+            split = _probed(spark, rows, split, shared, bounds, doubtful, occurrences)
+        split = spark.sparkContext.broadcast(split)
+    dealt = rows.repartition(max(buckets, WORD_BUCKETS), "bucket").sortWithinPartitions("bucket", "kind")
     back = dealt.mapInArrow(work, _ROWS).repartition("origin").sortWithinPartitions("origin", "kind").mapInArrow(gather, _OUT)
     return back.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 
-class _ByFive:
-    """Frequent words by the low 40 bits of their hashes."""
+# counts that do not lie in one bucket of contexts
 
-    def __init__(self, common: Words):
-        low = common.key & _LOW40
-        self.order = np.argsort(low)
-        self.low = low[self.order]
-
-    def find(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.low):
-            return np.zeros(len(w), np.int64), np.zeros(len(w), bool)
-        at = np.minimum(np.searchsorted(self.low, w), len(self.low) - 1)
-        return at, self.low[at] == w
+
+def _counts(src: DataFrame, vocabulary: DataFrame, shared, bounds: np.ndarray) -> DataFrame:
+    """For each bucket of contexts how often its split words precede their next words in all training rows, and its rare words occur."""
+    buckets = len(bounds) - 1
+    pair_buckets = max(WORD_BUCKETS, buckets // 8)
+
+    def pair_bucket(key):
+        return ((mixed(key, np.zeros(len(key), np.uint64)) >> _U(32)) * _U(pair_buckets)) >> _U(32)
+
+    def rows(kind, bucket, n_buckets, *columns):
+        """Rows of columns sorted by bucket, each with what packs it."""
+        cut = np.searchsorted(bucket, np.arange(n_buckets + 1, dtype=bucket.dtype))
+        some = [b for b in range(n_buckets) if cut[b] < cut[b + 1]]
+        for s in range(0, len(some), 64):
+            part = some[s : s + 64]
+            yield _batch(_ASKED, bucket=part, kind=np.full(len(part), kind), data=[_pack(*[f(c[cut[b] : cut[b + 1]]) for f, c in columns]) for b in part])
+
+    def rising(x):
+        return _rising(x, 8)
+
+    def four(x):
+        return _planes(x.astype(np.uint64), 4)
+
+    def ask(batches):
+        common = shared.value
+        lexicon = _Lexicon(common)
+        pairs, words = [], []
+
+        def merged(held):
+            return [_pair_sums(*(np.concatenate(c) for c in zip(*held)))] if held else []
+
+        def flush():
+            for key, b, n in merged(pairs):
+                to = pair_bucket(key)
+                o = np.argsort(to, kind="stable")
+                yield from rows(_ASK_PAIRS, to[o], pair_buckets, (rising, key[o]), (four, b[o]), (four, n[o]))
+            for h, b, _ in merged(words):
+                yield from rows(_ASK_WORDS, word_bucket(h), WORD_BUCKETS, (rising, h), (four, b))
+            pairs.clear(), words.clear()
+
+        asked = 0
+        for batch in batches:
+            i = 0
+            who, out = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for texts in small_lists(batch.column(1).to_pylist(), CHUNK):
+                split = [[*words_of(t), END] for t in texts]
+                h, place, known = lexicon.look(split)
+                size = np.array([len(ws) for ws in split])
+                _, last, c1 = _contexts(common, h, place, known, size, who[i : i + len(texts)])
+                train = np.repeat(np.array([not x for x in out[i : i + len(texts)]], np.int64), size)
+                i += len(texts)
+                of, there = _find(common.split, last)
+                b, some = np.zeros(len(h), np.int64), there | ~known
+                b[some] = np.minimum(np.searchsorted(bounds, c1[some], side="right") - 1, buckets - 1)
+                key = (of[there].astype(np.uint64) << _U(41)) | common.ids(h[there], place[there], known[there])
+                pairs.append((key, b[there], train[there]))
+                words.append((h[~known], b[~known], train[~known]))
+                asked += len(pairs[-1][0]) + len(words[-1][0])
+                if asked > ASKS:
+                    pairs[:], words[:] = merged(pairs), merged(words)
+                    asked = len(pairs[0][0]) + len(words[0][0])
+                    if asked > ASKS // 2:
+                        yield from flush()
+                        asked = 0
+        yield from flush()
+
+    def told(key, b, n):
+        o = np.lexsort((key, b))
+        yield from rows(_COUNTS, b[o], buckets, (rising, key[o]), (lambda x: x.astype("<i8"), n[o]))
+
+    def answer(batches):
+        own, key, n = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        pairs, words, known = [], [], []
+
+        def merge():
+            pairs[:] = [_pair_sums(*(np.concatenate(c) for c in zip(*pairs)))]
+
+        def tell():
+            h, b, _ = _pair_sums(*(np.concatenate(c) for c in zip(*words)), np.zeros(sum(len(x) for x, _ in words), np.int64))
+            at, there = _find(key, h)
+            words.clear()
+            yield from told((_RARE_WORDS << _U(41)) | _OTHER | (h & _LOW40), b, np.where(there, n[at], 0) if len(key) else at)
+
+        def close():
+            nonlocal key, n
+            if pairs:
+                merge()
+                pair, b, m = pairs.pop()
+                at = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+                total = np.add.reduceat(m, at)
+                some = total > 0
+                yield _batch(_ASKED, bucket=[-1], kind=[_PAIRS], data=[_pack(_rising(pair[at][some], 8), total[some].astype("<i8"))])
+                yield from told(pair, b, np.repeat(total, np.diff(np.r_[at, len(pair)])))
+            if words:
+                yield from tell()
+            key, n = key[:0], n[:0]
+
+        for batch in batches:
+            for bucket, kind, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if bucket != own and own is not None:
+                    yield from close()
+                own, data = bucket, data.as_py()
+                if kind == _VOCABULARY:
+                    key, n = _unpack(data, "<u8", "<i8")
+                elif kind == _ASK_PAIRS:
+                    k, b, m = _unpack(data, "u1", "u1", "u1")
+                    pairs.append((_from_rising(k, 8), _from_planes(b, 4).astype(np.int64), _from_planes(m, 4).astype(np.int64)))
+                    if len(pairs) > 1 and sum(len(x) for x, _, _ in pairs[1:]) > ASKS:
+                        merge()
+                else:
+                    h, b = _unpack(data, "u1", "u1")
+                    words.append((_from_rising(h, 8), _from_planes(b, 4).astype(np.int64)))
+                    if sum(len(x) for x, _ in words) > ASKS:
+                        yield from tell()
+        if own is not None:
+            yield from close()
+
+    asks = src.mapInArrow(ask, _ASKED).unionByName(vocabulary)
+    return staged(asks.repartition(pair_buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answer, _ASKED), "counts")
+
+
+def _split(spark, counts: DataFrame, shared, least: float) -> Split:
+    """What is known of split words from their pairs; retained are those that gain enough however frequent rare words are."""
+    words = shared.value
+    split = Split(np.zeros(len(words.split)), words.split_n.astype(float), np.zeros(len(words.split), bool))
+    if not len(words.split):
+        return split
+    pairs = counts.where(F.col("kind") == _PAIRS).select("data")
+
+    def per_word(f):
+        def sums(batches):
+            for b in batches:
+                for data in b.column(0):
+                    key, n = _unpack(data.as_py(), "u1", "<i8")
+                    key = _from_rising(key, 8)
+                    of = (key >> _U(41)).astype(np.int64)
+                    value = np.bincount(of, f(of, key & _U((1 << 41) - 1), n))
+                    some = np.unique(of)
+                    yield _batch("word int, value double", word=some, value=value[some])
+
+        out = np.zeros(len(split.total))
+        for word, value in pairs.mapInArrow(sums, "word int, value double").groupBy("word").agg(F.sum("value")).collect():
+            out[word] = value
+        return out
+
+    split.kinds = per_word(lambda of, w, n: np.ones(len(n)))
+
+    def gain(of, w, n):
+        common = shared.value
+        p = np.full(len(w), min(1.0, (least + 1.0) / common.z))
+        p[w < _RANKS] = common.p[w[w < _RANKS]]
+        u, t = split.kinds[of], split.total[of]
+        return n * np.log((n + u * p) / ((t + u) * p))
+
+    split.keep = per_word(gain) >= DIVERGENCE
+    return split
+
+
+def _probed(spark, rows: DataFrame, split: Split, shared, bounds: np.ndarray, doubtful: np.ndarray, occurrences) -> Split:
+    """The same with words retained whose gain, summed over the buckets of their classes, is enough or that longer contexts need."""
+    words = shared.value
+    c1 = words.class_key[np.isin(words.class_of, doubtful)]
+    buckets = np.unique(np.minimum(np.searchsorted(bounds, c1, side="right") - 1, len(bounds) - 2)).tolist()
+    known = spark.sparkContext.broadcast(split)
+
+    def probe(batches):
+        own, contexts, counts = None, [], []
+
+        def close():
+            if contexts:
+                _, _, *parts = occurrences(shared.value, known.value, contexts, counts)
+                word, gain, needed = score_bucket(*parts, probe=True)
+                yield _batch("word int, gain double, needed boolean", word=word, gain=gain, needed=needed)
+            contexts.clear(), counts.clear()
+
+        for b in batches:
+            for bucket, kind, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                if bucket != own and own is not None:
+                    yield from close()
+                own = bucket
+                contexts.append((0, data.as_py())) if kind == _CONTEXT else counts.append(data.as_py())
+        if own is not None:
+            yield from close()
+
+    some = rows.where(F.col("kind").isin(_CONTEXT, _COUNTS) & F.col("bucket").isin(buckets)).select("bucket", "kind", "data")
+    dealt = some.repartition(len(buckets), "bucket").sortWithinPartitions("bucket", "kind")
+    keep = split.keep.copy()
+    for word, gain, needed in dealt.mapInArrow(probe, "word int, gain double, needed boolean").groupBy("word").agg(F.sum("gain"), F.max("needed")).collect():
+        keep[word] |= needed or gain >= DIVERGENCE
+    return Split(split.kinds, split.total, keep)

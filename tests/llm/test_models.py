@@ -195,6 +195,68 @@ def test_scores_against_a_plain_tree(spark, monkeypatch, bucket, share, docs):
             assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], abs=1e-3, rel=1e-5)
 
 
+def whole_scores(rows):
+    """``(held out, tokens, score)`` of each row, every state by all its occurrences and every word by its count."""
+    train = [tokens_of(t) for i, t in rows if held(i, 7) != 2]
+    c = Counter(w for d in train for w in d)
+    z = sum(c.values()) + len(c) + 1
+
+    def contexts(d, at):
+        before = [d[at - k] if at >= k else b"\n" for k in range(1, suffix_lm.DEPTH + 1)]
+        return [tuple(before[:k]) for k in range(1, suffix_lm.DEPTH + 1 if at else 2)]
+
+    counts = defaultdict(Counter)
+    for d in train:
+        for at, w in enumerate(d):
+            for x in contexts(d, at):
+                counts[x][w] += 1
+
+    def prob(ctx, w, retained=None):
+        p = (c[w] + 1) / z
+        for x in ctx:
+            if x in counts and (retained is None or x in retained):
+                p = (counts[x][w] + len(counts[x]) * p) / (sum(counts[x].values()) + len(counts[x]))
+        return p
+
+    keep, forced = set(), 0
+    for x in sorted(counts, key=len, reverse=True):
+        chain = [x[: k + 1] for k in range(len(x))]
+        gain = sum(m * math.log(prob(chain, w) / prob(chain[:-1], w)) for w, m in counts[x].items())
+        if gain >= suffix_lm.DIVERGENCE:
+            keep.update(chain)
+        forced += x in keep and gain < suffix_lm.DIVERGENCE
+    out = {}
+    for i, t in rows:
+        d = tokens_of(t)
+        out.setdefault(i, []).append((held(i, 7) == 2, len(d), sum(math.log10(prob(contexts(d, at), w, keep)) for at, w in enumerate(d))))
+    return {k: sorted(x) for k, x in out.items()}, forced
+
+
+@pytest.mark.parametrize(("bucket", "share", "docs", "turns"), [(1_000_000, 2.0**-22, 30_000, 0), (60, 0.02, 7, 0), (8, 0.01, 50, 0), (8, 0.1, 50, 30)])
+def test_the_query_learns_from_all_occurrences(spark, monkeypatch, tmp_path, bucket, share, docs, turns):
+    from corpusloom.llm.queries import QUERIES
+
+    monkeypatch.setattr(suffix_lm, "BUCKET", bucket)
+    monkeypatch.setattr(suffix_lm, "WORD_SHARE", share)
+    monkeypatch.setattr(suffix_lm, "PACK_DOCS", docs)
+    monkeypatch.setattr(suffix_lm, "ASKS", 300, raising=False)
+    rng = random.Random(5)
+    vocab = ["The", "cat", "sat", "on", "a", "mat", "naïve", "dog's", "42"]
+    rows = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randrange(0, 30)))) for i in range(60)] + [(100, None), (101, ""), (3, "Again and again  zebra")]
+    rows += [(200 + i, f"common word{i % 7} rare{i} common passage that is seen again and again rare{i // 2} unseen{i}") for i in range(30)]
+    if turns:  # the word before tells nothing alone
+        rows = [(i, text) for i, text in zip((next(j for j in range(9) if held(j, 7) != 2), next(j for j in range(99) if held(j, 7) == 2)), ("a a b b " * turns, "b b a a c"))]
+    frame(spark, rows).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    for r in QUERIES["op8_suffix_tree_lm"](spark, str(tmp_path)).collect():
+        got.setdefault(r.doc_id, []).append((r.held_out, r.n_tokens, r.score))
+    want, forced = whole_scores(rows)
+    assert set(got) == set(want) and (forced or not turns)
+    for i in want:
+        for a, b in zip(sorted(got[i]), want[i], strict=True):
+            assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=1e-3, rel=1e-5)
+
+
 def test_next_words_sum_to_one():
     rng = np.random.default_rng(3)
     n, words = 400, 12
