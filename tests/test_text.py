@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +138,22 @@ def test_hash_stores(spark, tmp_path):
     assert dict(dedup.original_url(store, "content").collect()) == {"h1": "http://later", "h2": "http://b"}
     assert dedup.original_url(store, "simhash").count() == 0
     assert [r.hash for r in dedup.seen_filter(spark.createDataFrame([("h1",), ("h9",)], "hash string"), store, "hash").collect()] == ["h9"]
+
+
+def test_one_pass_counts_keywords_by_the_row(spark):
+    rows = spark.createDataFrame([("alpha alpha alpha gamma gamma", 3), ("alpha alpha alpha gamma gamma", 2), (None, 2)], "t string, n int")
+    assert [r[0] for r in rows.select(T.keywords(F.col("t"), F.col("n"))).collect()] == [["alpha"], ["alpha", "gamma"], []]
+
+
+def test_bodies_hold_printable_latin_1(spark):
+    from corpusloom.plans.site_queries import _bare
+
+    every = "".join(map(chr, [*range(0x250), 0x2028, 0x20AC, 0xD7FF, 0xE000, 0xFFFD, 0x1F600, 0x10FFFF]))
+    rows = spark.createDataFrame([(every,), (None,)], "text string")
+    assert [r[0] for r in rows.select(_bare()).collect()] == [re.sub("[^ -~\u00a1-\u00ff\n]", "", every), ""]
+
+
+def test_extraction_sends_texts_to_one_keyword_count(spark):
+    got = X.extract(spark.createDataFrame([("http://a/", "text/plain", b"x")], "url string, content_type string, body binary"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython [run(") == 1 and plan.split("ArrowEvalPython [")[1].split("]")[0].count("run(") == 1
