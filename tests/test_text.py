@@ -157,3 +157,10 @@ def test_extraction_sends_texts_to_one_keyword_count(spark):
     got = X.extract(spark.createDataFrame([("http://a/", "text/plain", b"x")], "url string, content_type string, body binary"))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython [run(") == 1 and plan.split("ArrowEvalPython [")[1].split("]")[0].count("run(") == 1
+
+
+def test_near_pairs_are_dealt_out_by_their_number(spark):
+    rows = spark.range(2 * dedup.PAIR_ROWS).select("id", F.xxhash64("id").alias("fp"), F.col("id").alias("seq"))
+    plan = dedup.near_pairs(rows)._jdf.queryExecution().optimizedPlan().toString()
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 3)
+    assert re.search(rf"RepartitionByExpression \[band#\d+L?\], {tasks}\b", plan)
